@@ -157,11 +157,13 @@ def strip_accents(col: Column) -> Column:
 
 
 def char_ngrams(col: Column, n: int = 3) -> Column:
-    """Character n-grams of ``' ' + squeezed lower text + ' '`` (code points)."""
+    """Overlapping character n-grams (code points) of ``' ' + squeezed lower text + ' '``.
+
+    One linear regex scan: a zero-width lookahead at every position captures
+    the next n characters (``substring`` per position would rescan the
+    UTF-8 string from its start each time)."""
     t = F.concat(F.lit(" "), F.regexp_replace(F.lower(col), SPACE + "+", " "), F.lit(" "))
-    ln = F.length(t)
-    return F.when(ln >= n, F.transform(F.sequence(F.lit(1), ln - (n - 1)),
-                                        lambda i: F.substring(t, i, n))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(t, F.lit("(?s)(?=(.{%d}))" % n), 1)
 
 
 def json_field(col: Column, path: str) -> Column:
