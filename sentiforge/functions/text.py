@@ -126,12 +126,14 @@ def word_tokens(col: Column) -> Column:
 
 
 def with_bigrams(tokens: Column) -> Column:
-    """Unigrams followed by adjacent pairs joined by a blank (n-gram range 1..2)."""
+    """Unigrams followed by adjacent pairs joined by a blank (n-gram range 1..2).
+
+    ``zip_with`` of the array with itself shifted by one: the token array is
+    an argument (evaluated once), never referenced from inside the lambda,
+    which would re-evaluate the whole token expression per element."""
     n = F.size(tokens)
-    pairs = F.transform(
-        F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))),
-        lambda x, i: F.concat_ws(" ", F.get(tokens, i), x),
-    )
+    m = F.greatest(n - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(tokens, 1, m), F.slice(tokens, 2, m), lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(tokens, pairs)
 
 
