@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def row_index(df: DataFrame, order_key: str | Column, tiebreak: Sequence[str] = (),
@@ -48,3 +49,89 @@ def top_k(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], k:
     """
     w = Window.partitionBy(*group_cols).orderBy(*order)
     return df.withColumn(rank_name, F.row_number().over(w)).where(F.col(rank_name) <= k)
+
+
+def _digits(col: Column, total_bits: int, digit_bits: int) -> list[Column]:
+    """Base-2^digit_bits digits of a non-negative long, most significant first."""
+    shifts = list(range(max(total_bits - digit_bits, 0), -1, -digit_bits))
+    if shifts[-1] != 0:
+        shifts.append(0)
+    out = [F.shiftright(col, shifts[0])]
+    prev = shifts[0]
+    for s in shifts[1:]:
+        out.append(F.shiftright(col, s).bitwiseAND(F.lit((1 << (prev - s)) - 1)))
+        prev = s
+    return out
+
+
+def _small(spark, rows, key_schema: StructType, extra: list[str]) -> DataFrame:
+    fields = list(key_schema.fields) + [StructField(x, LongType()) for x in extra]
+    return spark.createDataFrame(rows, StructType(fields))
+
+
+def first_n_per_group(df: DataFrame, group_cols: Sequence[str], n_col: str, key: Column, uid: str,
+                      key_bits: int = 49, uid_bits: int = 63, digit_bits: int = 12,
+                      exact_rows: int = 1 << 18) -> DataFrame:
+    """Rows among the first ``n_col`` of their group in (key asc, uid asc) order.
+
+    ``key`` and ``uid`` must be non-negative longs below 2^key_bits / 2^uid_bits;
+    ``n_col`` is constant within a group.  Exact, and no task holds a whole
+    group: a radix select.  Each pass counts the undecided rows per (group,
+    digit) with map-side partial counts; a window over that small histogram
+    finds the digit where the running count reaches the rows still needed.
+    Rows below that digit are taken, rows above it dropped, and only the
+    boundary digit goes on to the next pass.  Once every boundary bucket
+    holds at most ``exact_rows`` rows, a ``row_number`` window over those
+    buckets finishes the cut.  Only cut points (one row per group) reach the
+    driver; the input is persisted once so passes do not recompute it.
+    """
+    g = list(group_cols)
+    spark = df.sparkSession
+    base = df.withColumn("_k", key.cast("long")).withColumn("_u", F.col(uid).cast("long")).persist()
+    kschema = base.select(*g).schema
+    digits = _digits(F.col("_k"), key_bits, digit_bits) + _digits(F.col("_u"), uid_bits, digit_bits)
+    need = (base.groupBy(*g).agg(F.max(n_col).cast("long").alias("_need"), F.count(F.lit(1)).alias("_have"))
+            .where(F.col("_need") > 0).collect())
+    taken: list[DataFrame] = []
+    whole = [tuple(r[c] for c in g) for r in need if r["_have"] <= r["_need"]]
+    if whole:
+        taken.append(base.join(F.broadcast(_small(spark, whole, kschema, [])), g, "left_semi"))
+    state = {tuple(r[c] for c in g): (int(r["_need"]), int(r["_have"])) for r in need if r["_have"] > r["_need"]}
+    cand = base
+    for d in digits:
+        if not state or max(h for _, h in state.values()) <= exact_rows:
+            break
+        st = _small(spark, [(*k, v[0]) for k, v in state.items()], kschema, ["_need"])
+        c = cand.join(F.broadcast(st), g, "left_semi")
+        hist = c.groupBy(*g, d.alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
+        w = Window.partitionBy(*g).orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cum = hist.join(F.broadcast(st), g).withColumn("_cum", F.sum("_c").over(w))
+        cut = (cum.where(F.col("_cum") >= F.col("_need")).groupBy(*g)
+               .agg(F.min_by(F.struct("_d", (F.col("_cum") - F.col("_c")).alias("_before"), "_c", "_need"),
+                             F.col("_d")).alias("s"))
+               .select(*g, "s.*").collect())
+        cut_df = _small(spark, [(*(r[x] for x in g), int(r["_d"])) for r in cut], kschema, ["_cut"])
+        cd = c.join(F.broadcast(cut_df), g)
+        taken.append(cd.where(d < F.col("_cut")).drop("_cut"))
+        new_state, full = {}, []
+        for r in cut:
+            k = tuple(r[x] for x in g)
+            left = int(r["_need"]) - int(r["_before"])
+            if left == int(r["_c"]):
+                full.append(k)
+            else:
+                new_state[k] = (left, int(r["_c"]))
+        if full:
+            taken.append(cd.where(d == F.col("_cut")).drop("_cut")
+                         .join(F.broadcast(_small(spark, full, kschema, [])), g, "left_semi"))
+        cand = cd.where(d == F.col("_cut")).drop("_cut")
+        state = new_state
+    if state:
+        st = _small(spark, [(*k, v[0]) for k, v in state.items()], kschema, ["_need"])
+        w = Window.partitionBy(*g).orderBy("_k", "_u")
+        taken.append(cand.join(F.broadcast(st), g).withColumn("_rn", F.row_number().over(w))
+                     .where(F.col("_rn") <= F.col("_need")).drop("_rn", "_need"))
+    out = df.limit(0)
+    for t in taken:
+        out = out.unionByName(t.select(*df.columns))
+    return out

@@ -13,8 +13,9 @@ Mapping (fixed):
   mention, a hashtag and a URL, so that every cleaning rule fires.
 * preds(model, uid, label, cls): K = 5 model outputs; each agrees with the
   gold label when an md5 uniform is below 0.6, else an md5 class.
-* scores(uid, label, p): 3-class probabilities from md5 uniforms, the gold
-  class boosted by 0.8, normalised.
+* scores(uid, label, p): 3-class probabilities from md5 uniforms, one class
+  boosted by 0.8 (the gold class for 70 % of rows, an md5 class otherwise),
+  normalised.
 * loss_log(run, epoch, step, loss): events per user ordered by event_id,
   50 steps per epoch, loss = ln(1 + value).
 """
@@ -72,8 +73,10 @@ def preds(spark: SparkSession, sf: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     base = labelled(spark, sf).select("uid", "label")
+    boost = F.when(uniform("s", F.col("uid")) < 0.7, F.col("label")).otherwise(
+        F.pmod(hex_int(md5_key("s", F.col("uid")), 9, 4), F.lit(3)).cast("int"))
     e = [(hex_int(md5_key("p", j, F.col("uid")), 1, 4) + F.lit(1)) / F.lit(65537.0)
-         + F.when(F.col("label") == j, F.lit(0.8)).otherwise(F.lit(0.0)) for j in range(3)]
+         + F.when(boost == j, F.lit(0.8)).otherwise(F.lit(0.0)) for j in range(3)]
     s = e[0] + e[1] + e[2]
     return base.select("uid", "label", F.array(*[x / s for x in e]).alias("p"))
 
@@ -119,7 +122,8 @@ SQL["preds"] = SQL["labelled"] + ",\npreds AS (\n" + "\n  UNION ALL\n".join(
     f"  SELECT {k} AS model, uid, label, CASE WHEN {_uniform(str(k), repr('agree'), 'uid')} < 0.6 THEN label "
     f"ELSE CAST({_hex(_md5(str(k), 'uid'), 1, 4)} % 3 AS INTEGER) END AS cls FROM labelled"
     for k in range(1, N_MODELS + 1)) + ")"
-_E = [f"(({_hex(_md5(repr('p'), str(j), 'uid'), 1, 4)} + 1) / 65537.0::DOUBLE + CASE WHEN label = {j} THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END)"
+_BOOST = f"(CASE WHEN {_uniform(repr('s'), 'uid')} < 0.7 THEN label ELSE CAST({_hex(_md5(repr('s'), 'uid'), 9, 4)} % 3 AS INTEGER) END)"
+_E = [f"(({_hex(_md5(repr('p'), str(j), 'uid'), 1, 4)} + 1) / 65537.0::DOUBLE + CASE WHEN {_BOOST} = {j} THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END)"
       for j in range(3)]
 SQL["scores"] = SQL["labelled"] + f""",
 scores_e AS (SELECT uid, label, {_E[0]} AS e0, {_E[1]} AS e1, {_E[2]} AS e2 FROM labelled),
