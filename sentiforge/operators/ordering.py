@@ -135,3 +135,40 @@ def first_n_per_group(df: DataFrame, group_cols: Sequence[str], n_col: str, key:
     for t in taken:
         out = out.unionByName(t.select(*df.columns))
     return out
+
+
+def dense_index(df: DataFrame, bucket_exprs: Sequence[Column], order: Sequence[Column],
+                name: str = "ix") -> DataFrame:
+    """0-based position in the order (buckets ascending, then ``order``).
+
+    The bucket expressions must be consistent with the order (every row of
+    a smaller bucket comes first), e.g. ``(-count, substring(word, 1, 2))``
+    for "count desc, word asc".  Each window task holds one bucket; bucket
+    offsets come from a running sum over the small table of bucket totals.
+    """
+    keyed = df.select("*", *[e.alias(f"_b{i}") for i, e in enumerate(bucket_exprs)])
+    bcols = [f"_b{i}" for i in range(len(bucket_exprs))]
+    totals = keyed.groupBy(*bcols).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*bcols).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*bcols, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*bcols).orderBy(*order)
+    return (keyed.join(offsets, bcols)
+            .withColumn(name, (F.row_number().over(inside) - 1 + F.col("_off")).cast("long"))
+            .drop(*bcols, "_off"))
+
+
+def prefix_sum(df: DataFrame, order_key: str, tiebreak: Sequence[str], weight: str,
+               bucket_width: int = 64, name: str = "offset") -> DataFrame:
+    """Add ``name`` = sum of ``weight`` over all rows before this one in
+    (order_key, *tiebreak) order.  ``order_key`` is a non-negative integer;
+    rows with equal ``floor(order_key / bucket_width)`` share one window task
+    and bucket offsets come from the small table of bucket totals."""
+    keyed = df.withColumn("_b", F.floor(F.col(order_key) / F.lit(bucket_width)))
+    totals = keyed.groupBy("_b").agg(F.sum(weight).alias("_t"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    inside = (Window.partitionBy("_b").orderBy(order_key, *tiebreak)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    return (keyed.join(offsets, "_b")
+            .withColumn(name, (F.coalesce(F.sum(weight).over(inside), F.lit(0)) + F.col("_off")).cast("long"))
+            .drop("_b", "_off"))
