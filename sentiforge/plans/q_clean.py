@@ -75,3 +75,9 @@ def nonblank_lines(spark, sf):
 @register("json_field", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def json_field(spark, sf):
     return table(spark, sf, "events").select("event_id", T.json_field(F.col("props"), "$.k").try_cast("int").alias("k"))
+
+
+@register("normalise_stemmed")
+def normalise_stemmed(spark, sf):
+    """Variant C in full including the Porter stemmer (no SQL stemmer: rows check)."""
+    return tweets(spark, sf).select("uid", T.normalise(T.clean_strip(F.col("text")), stem=True).alias("clean_text"))

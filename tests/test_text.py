@@ -62,3 +62,18 @@ def test_majority_vote_ties_to_smallest(spark):
     df = spark.createDataFrame(rows, "uid long, cls int")
     got = {r.uid: r.vote for r in majority_vote(df, 3).collect()}
     assert got == {1: 0, 2: 1}
+
+
+@pytest.mark.parametrize("word,stem", [
+    ("caresses", "caress"), ("ponies", "poni"), ("motoring", "motor"), ("hopping", "hop"), ("filing", "file"),
+    ("happy", "happi"), ("relational", "relat"), ("exactly", "exactli"), ("definitely", "definit"),
+    ("congratulations", "congratul"), ("adoption", "adopt"), ("agreed", "agre"), ("at", "at"),
+])
+def test_porter(word, stem):
+    from sentiforge.functions.stem import porter_stem
+    assert porter_stem(word) == stem
+
+
+def test_normalise_with_stem(spark):
+    out = _one(spark, lambda c: T.normalise(c, stem=True), "The ponies were definitely RUNNING, 42 times!")
+    assert out == "poni definit run time"
