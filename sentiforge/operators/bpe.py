@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentiforge.functions.text import split_ws
+from sentiforge.session import ensure_checkpoint_dir
 
 WORD_START = "▁"  # fixed value: the word-start mark of sentencepiece-style pieces
 
@@ -59,6 +60,7 @@ def _merge(sym: Column, left: str, right: str) -> Column:
 
 def learn_merges(words: DataFrame, n_merges: int, checkpoint_every: int = 10) -> list[tuple[int, str, str, int]]:
     """Greedy merges ``(rank, left, right, count)``; stops early when no pair occurs twice."""
+    ensure_checkpoint_dir(words.sparkSession)
     cur = words.select("n", "sym").persist(StorageLevel.MEMORY_AND_DISK)
     merges = []
     for rank in range(n_merges):
