@@ -3,8 +3,9 @@
 A window with no (or a low-cardinality) ``partitionBy`` runs in one task.
 ``row_index`` gives every row its 0-based position in a global (or
 per-group) order with bounded tasks: rows are cut into ranges of the order
-key, the range totals (a small table) get a running sum, and the position
-is that offset plus the row number inside the range.
+key, the range totals get a running sum (itself computed over coarser
+ranges, so no task holds more than a few thousand totals), and the
+position is that offset plus the row number inside the range.
 """
 
 from __future__ import annotations
@@ -16,9 +17,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 
+def _running_offsets(totals: DataFrame, parts: Sequence[str], bcol: str, wcol: str,
+                     fanout: int = 4096, depth: int = 2) -> DataFrame:
+    """``(*parts, bcol, _off)``: exclusive running sum of ``wcol`` in ``bcol`` order.
+
+    ``totals`` has one row per (group, bucket) and ``bcol`` is a non-negative
+    long.  Buckets are grouped ``fanout`` at a time into coarser buckets,
+    ``depth`` levels deep, so no window task sees more than ``fanout`` rows of
+    a level (enough for 4096^3 buckets per group at the default)."""
+    if depth == 0:
+        w = Window.partitionBy(*parts).orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)
+        return totals.select(*parts, bcol, F.coalesce(F.sum(wcol).over(w), F.lit(0)).alias("_off"))
+    c = f"_c{depth}"  # one coarse column per level: the next level's bucket column is this one
+    t = totals.withColumn(c, F.floor(F.col(bcol) / F.lit(fanout)))
+    coarse = t.groupBy(*parts, c).agg(F.sum(wcol).alias("_cw"))
+    coff = _running_offsets(coarse, parts, c, "_cw", fanout, depth - 1).withColumnRenamed("_off", "_coff")
+    w = Window.partitionBy(*parts, c).orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)
+    inner = t.select(*parts, bcol, c, F.coalesce(F.sum(wcol).over(w), F.lit(0)).alias("_ioff"))
+    return inner.join(coff, [*parts, c]).select(*parts, bcol, (F.col("_coff") + F.col("_ioff")).alias("_off"))
+
+
 def row_index(df: DataFrame, order_key: str | Column, tiebreak: Sequence[str] = (),
               partition_cols: Sequence[str] = (), bucket_width: int = 1 << 14,
-              name: str = "row_ix") -> DataFrame:
+              name: str = "row_ix", fanout: int = 4096) -> DataFrame:
     """Add ``name`` = 0-based position of the row ordered by (order_key, *tiebreak)
     within ``partition_cols``.
 
@@ -31,8 +52,7 @@ def row_index(df: DataFrame, order_key: str | Column, tiebreak: Sequence[str] =
     parts = list(partition_cols)
     keyed = df.withColumn("_ok", key).withColumn("_b", F.floor(F.col("_ok") / F.lit(bucket_width)))
     totals = keyed.groupBy(*parts, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*parts).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*parts, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = _running_offsets(totals, parts, "_b", "_n", fanout)
     inside = Window.partitionBy(*parts, "_b").orderBy("_ok", *tiebreak)
     return (keyed.join(offsets, [*parts, "_b"])
             .withColumn(name, (F.row_number().over(inside) - 1 + F.col("_off")).cast("long"))
@@ -158,15 +178,14 @@ def dense_index(df: DataFrame, bucket_exprs: Sequence[Column], order: Sequence[C
 
 
 def prefix_sum(df: DataFrame, order_key: str, tiebreak: Sequence[str], weight: str,
-               bucket_width: int = 64, name: str = "offset") -> DataFrame:
+               bucket_width: int = 64, name: str = "offset", fanout: int = 4096) -> DataFrame:
     """Add ``name`` = sum of ``weight`` over all rows before this one in
     (order_key, *tiebreak) order.  ``order_key`` is a non-negative integer;
     rows with equal ``floor(order_key / bucket_width)`` share one window task
     and bucket offsets come from the small table of bucket totals."""
     keyed = df.withColumn("_b", F.floor(F.col(order_key) / F.lit(bucket_width)))
     totals = keyed.groupBy("_b").agg(F.sum(weight).alias("_t"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    offsets = _running_offsets(totals, [], "_b", "_t", fanout)
     inside = (Window.partitionBy("_b").orderBy(order_key, *tiebreak)
               .rowsBetween(Window.unboundedPreceding, -1))
     return (keyed.join(offsets, "_b")

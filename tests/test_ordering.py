@@ -29,11 +29,12 @@ def test_first_n_per_group_with_heavy_ties(spark):
 def test_row_index_and_prefix_sum(spark):
     rows = [(i % 7, i, (i * 37) % 11) for i in range(300)]
     df = spark.createDataFrame(rows, "p long, k long, w long")
-    ix = {(r.p, r.k): r.ix for r in row_index(df, "k", partition_cols=["p"], bucket_width=8, name="ix").collect()}
+    ix = {(r.p, r.k): r.ix for r in row_index(df, "k", partition_cols=["p"], bucket_width=8, name="ix",
+                                                 fanout=2).collect()}
     for p in range(7):
         ks = sorted(k for pp, k, _ in rows if pp == p)
         assert [ix[(p, k)] for k in ks] == list(range(len(ks)))
-    off = {r.k: r.off for r in prefix_sum(df, "k", [], "w", bucket_width=16, name="off").collect()}
+    off = {r.k: r.off for r in prefix_sum(df, "k", [], "w", bucket_width=4, name="off", fanout=3).collect()}
     acc = 0
     for _, k, w in sorted(rows, key=lambda r: r[1]):
         assert off[k] == acc
