@@ -164,13 +164,21 @@ def dense_index(df: DataFrame, bucket_exprs: Sequence[Column], order: Sequence[C
     The bucket expressions must be consistent with the order (every row of
     a smaller bucket comes first), e.g. ``(-count, substring(word, 1, 2))``
     for "count desc, word asc".  Each window task holds one bucket; bucket
-    offsets come from a running sum over the small table of bucket totals.
+    offsets are running sums taken level by level (over the distinct counts,
+    then over the prefixes of one count), never over all buckets at once.
     """
     keyed = df.select("*", *[e.alias(f"_b{i}") for i, e in enumerate(bucket_exprs)])
     bcols = [f"_b{i}" for i in range(len(bucket_exprs))]
     totals = keyed.groupBy(*bcols).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(*bcols).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*bcols, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    # offsets level by level: a window over the distinct values of the first
+    # bucket column, then one per value over the next column, and so on
+    offsets = totals.select(*bcols, F.lit(0).cast("long").alias("_off"))
+    for i in range(len(bcols)):
+        head, col = bcols[:i], bcols[i]
+        lvl = totals.groupBy(*head, col).agg(F.sum("_n").alias("_t"))
+        w = Window.partitionBy(*head).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+        lvl = lvl.select(*head, col, F.coalesce(F.sum("_t").over(w), F.lit(0)).alias(f"_o{i}"))
+        offsets = offsets.join(lvl, [*head, col]).withColumn("_off", F.col("_off") + F.col(f"_o{i}")).drop(f"_o{i}")
     inside = Window.partitionBy(*bcols).orderBy(*order)
     return (keyed.join(offsets, bcols)
             .withColumn(name, (F.row_number().over(inside) - 1 + F.col("_off")).cast("long"))
