@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +60,8 @@ def pack_blocks(encoded: DataFrame, order_key: str, tiebreak: Sequence[str], blo
     """``(block, ids)``: all ids in (order_key, *tiebreak) order cut into blocks of
     ``block_size - 2`` tokens, each wrapped in <cls> ... <sep>; the short last block is dropped."""
     inner = block_size - 2
-    sized = encoded.withColumn("_n", F.size("ids"))
+    # read three times (total, range totals, tokens): encode once
+    sized = encoded.withColumn("_n", F.size("ids")).persist(StorageLevel.MEMORY_AND_DISK)
     total = sized.agg(F.sum("_n")).scalar()
     off = prefix_sum(sized, order_key, tiebreak, "_n", name="_start")
     toks = (off.select("_start", F.posexplode("ids").alias("pos", "id"))
