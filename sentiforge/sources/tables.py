@@ -27,7 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = TEXT_KEYS.get(name)
     if key is None:
         return df
-    slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        df = df.repartition(2 * slots, key)
-    return df
+    try:
+        slots = spark.sparkContext.defaultParallelism
+        few = df.rdd.getNumPartitions() < slots
+    except Exception:  # noqa: BLE001 - sessions without an RDD API (Spark Connect): leave the scan as is
+        return df
+    return df.repartition(2 * slots, key) if few else df
