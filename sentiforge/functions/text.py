@@ -170,3 +170,16 @@ def char_ngrams(col: Column, n: int = 3) -> Column:
 
 def json_field(col: Column, path: str) -> Column:
     return F.get_json_object(col, path)
+
+
+# Pluggable tokenizers: name -> (text Column -> array<string> Column).
+TOKENIZERS = {
+    "whitespace": split_ws,
+    "vectoriser": word_tokens,
+    "lower_whitespace": lambda c: split_ws(F.lower(c)),
+}
+
+
+def tokens(col: Column, kind: str = "whitespace") -> Column:
+    """Tokenise with a registered tokenizer (add entries to ``TOKENIZERS`` to plug one in)."""
+    return TOKENIZERS[kind](col)
