@@ -9,7 +9,7 @@ from sentiforge.functions import arrays as A
 from sentiforge.functions import text as T
 from sentiforge.operators.vote import majority_vote
 
-TOY = "RT @meghana https://something hello"
+TOY = "RT @someone https://something hello"
 
 
 def _one(spark, col_fn, text):
@@ -17,8 +17,8 @@ def _one(spark, col_fn, text):
 
 
 @pytest.mark.parametrize("fn,text,expected", [
-    (T.clean_mark, TOY, "RT mention meghana  hello"),
-    (T.clean_glue, TOY, "RT mentionmeghana  hello"),
+    (T.clean_mark, TOY, "RT mention someone  hello"),
+    (T.clean_glue, TOY, "RT mentionsomeone  hello"),
     (T.clean_strip, TOY, "  hello"),
     (T.clean_mark, "RT @bob: hi http://x.y/#a b", "Retweet hi  a b"),
 ])
