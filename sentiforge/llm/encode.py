@@ -18,7 +18,7 @@ import pyarrow as pa
 
 from sentiforge.llm.words import IS_SPACE, LOWER, find_words, span_hashes, text_bytes
 
-MEMO_UNITS = 2_000_000
+MEMO_UNITS = 1_500_000
 _JOIN = 512
 # plain units: printable ASCII and the Latin-1 letters, whose pre-tokens a simple pattern counts
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 _CHUNK = 1 << 20
 _U = np.uint64
 
