@@ -31,7 +31,7 @@ SMOOTHING = 2.0
 THRESHOLD = -0.2
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-BROADCAST_ROWS = 4_000_000  # trusted keys up to this number are sent to every executor, else both sides are shuffled
+BROADCAST_ROWS = 1_000_000  # trusted keys up to this number are sent to every executor, else both sides are shuffled
 
 
 def byte_grams(buf: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:

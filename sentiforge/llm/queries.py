@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sentiforge.llm.ngram_join import op3_ngram_join
 from sentiforge.llm.packing import op5_best_fit_packing
 from sentiforge.llm.quality_classifier import op1_quality_classifier
 from sentiforge.llm.quality_rules import op6_quality_rules
@@ -9,6 +10,7 @@ from sentiforge.llm.token_codes import op8_token_codes
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op3_ngram_join": op3_ngram_join,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_rules": op6_quality_rules,
     "op8_token_codes": op8_token_codes,
