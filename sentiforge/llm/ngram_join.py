@@ -186,7 +186,7 @@ def check_blocks(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = (members.join(place.select("cluster", "key", "n", "block"), ["cluster", "key", "n"])
             .join(sides, ["cluster", "block"])
             .select("cluster", "i", "j", "side", "key", "elems")
-            .repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "key"))
+            .repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "key", "elems"))
 
     def run(batches: Iterator[pa.RecordBatch]):
         held, at = [], None
@@ -197,7 +197,8 @@ def check_blocks(members: DataFrame, percent: int = PERCENT) -> DataFrame:
                     yield _links(held, at[1] == at[2], percent)
                     held = []
                 at = (c, i, j)
-                held.append((key, side, np.frombuffer(e.as_buffer(), _U)))
+                if not held or held[-1][0] != key or held[-1][3] != e:  # a repeated row counts once
+                    held.append((key, side, np.frombuffer(e.as_buffer(), _U), e))
         if held:
             yield _links(held, at[1] == at[2], percent)
 
@@ -244,15 +245,16 @@ def _links(members: list, same: bool, percent: int) -> pa.RecordBatch:
 
 
 def shingle_elements(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(key, n, elems)`` with the 64-bit shingles of each text of ``(key, _text)``."""
+    """``(key, n, elems)`` with the 64-bit shingles of each text with words of ``(key, _text)``."""
     def run(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches, "_text"):
             w = find_words(b.column(1), lower=True)
             doc, h = shingle_sets(w, shingle)
             n = np.bincount(doc, minlength=w.n_texts)
             off = np.concatenate(([0], np.cumsum(n)))
-            yield pa.record_batch([b.column(0), pa.array(n), pa.array([h[a:z].tobytes() for a, z in zip(off[:-1], off[1:])],
-                                                                      pa.binary())], names=["key", "n", "elems"])
+            rows = {(k, h[a:z].tobytes()): a for k, a, z in zip(b.column(0).to_pylist(), off[:-1], off[1:]) if z > a}
+            yield pa.record_batch([pa.array([k for k, _ in rows], pa.int64()), pa.array([len(e) // 8 for _, e in rows]),
+                                   pa.array([e for _, e in rows], pa.binary())], names=["key", "n", "elems"])
 
     return docs.mapInArrow(run, "key long, n long, elems binary")
 
@@ -286,8 +288,8 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
         members = F.broadcast(members)
     picked = (docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("_text"))
               .join(members.select("key"), "key", "left_semi").select("key", "_text"))
-    elems = shingle_elements(picked, shingle).where("n > 0").dropDuplicates(["key", "elems"])
-    links = written(check_blocks(elems.join(members, "key"), percent), "links")
+    elems = written(shingle_elements(picked, shingle).join(members, "key"), "members")
+    links = written(check_blocks(elems, percent), "links")
     found = connected_components(links.where("a <> b").select("a", "b").union(twins))
 
     # smallest key of each class is its representative, so the smallest node is the smallest key
