@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sentiforge.llm.chat_windows import op7_chat_windows
+from sentiforge.llm.collision_search import op10_collision_search
 from sentiforge.llm.ngram_join import op3_ngram_join
 from sentiforge.llm.packing import op5_best_fit_packing
 from sentiforge.llm.quality_classifier import op1_quality_classifier
@@ -13,7 +15,9 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_chat_windows": op7_chat_windows,
     "op8_token_codes": op8_token_codes,
+    "op10_collision_search": op10_collision_search,
 }
 
 ORACLE: dict[str, str] = {}
