@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sentiforge.llm.chat_windows import op7_chat_windows
 from sentiforge.llm.collision_search import op10_collision_search
+from sentiforge.llm.disclosure import op2_disclosure
 from sentiforge.llm.ngram_join import op3_ngram_join
 from sentiforge.llm.packing import op5_best_fit_packing
 from sentiforge.llm.quality_classifier import op1_quality_classifier
@@ -12,6 +13,7 @@ from sentiforge.llm.token_codes import op8_token_codes
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_disclosure": op2_disclosure,
     "op3_ngram_join": op3_ngram_join,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_rules": op6_quality_rules,
