@@ -307,3 +307,22 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingles reach a Jaccard similarity of 0.9."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return similar_texts(docs).withColumnRenamed("key", "doc_id")
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of every group of near duplicates (five words, 0.8) the document with the smallest id stays.
+
+    Rows of one id are one document and leave one row (the smallest hash of its
+    text); documents without words or without an id stay."""
+    found = written(similar_texts(docs, shingle=5, percent=80), "groups")
+    gone = found.where("key <> component_id").select(F.col("key").alias("_gone")).distinct()
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    twice = found.where("key IS NOT NULL").groupBy("key").count().where("count > 1").select(F.col("key").alias("_twice"))
+    if not twice.limit(1).count():
+        return left
+    once = left.join(twice, left["doc_id"] == F.col("_twice"), "left_anti")
+    again = left.join(twice, left["doc_id"] == F.col("_twice"), "left_semi")
+    pick = again.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
+    return once.unionByName(pick.where("_row = 1").drop("_row"))

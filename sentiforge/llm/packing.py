@@ -202,3 +202,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     small = pieces.select("key", "piece", "start", "length", "ids_crc32", "part", "rank")
     return place_pieces(small).select(
         F.col("key").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the packed sequences, with the ids of the documents in each and their offsets."""
+    import public_tokenizers
+
+    packed = sequences(place_pieces(cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)))
+    return packed.withColumnRenamed("keys", "doc_ids")

@@ -27,7 +27,7 @@ from sentiforge.llm import counts
 from sentiforge.llm.words import Words, find_words, slices, text_bytes
 
 BITS = 18
-SMOOTHING = 2.0
+SMOOTHING = 8.0
 THRESHOLD = -0.2
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30

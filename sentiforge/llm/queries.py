@@ -7,6 +7,8 @@ from sentiforge.llm.collision_search import op10_collision_search
 from sentiforge.llm.disclosure import op2_disclosure
 from sentiforge.llm.ngram_join import op3_ngram_join
 from sentiforge.llm.packing import op5_best_fit_packing
+from sentiforge.llm.passages import op4_passages
+from sentiforge.llm.pieces import op9_pieces
 from sentiforge.llm.quality_classifier import op1_quality_classifier
 from sentiforge.llm.quality_rules import op6_quality_rules
 from sentiforge.llm.token_codes import op8_token_codes
@@ -15,10 +17,12 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_disclosure": op2_disclosure,
     "op3_ngram_join": op3_ngram_join,
+    "op4_passages": op4_passages,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_chat_windows": op7_chat_windows,
     "op8_token_codes": op8_token_codes,
+    "op9_pieces": op9_pieces,
     "op10_collision_search": op10_collision_search,
 }
 

@@ -73,7 +73,7 @@ def test_verdict_equals_a_plain_ratio(spark):
 
     def ratio(xs, a, b):
         scale = sum(b.values()) / sum(a.values())
-        return sum(math.log(b[x] + 2) - math.log(a[x] * scale + 2) for x in xs) / max(len(xs), 1)
+        return sum(math.log(b[x] + 8) - math.log(a[x] * scale + 8) for x in xs) / max(len(xs), 1)
 
     for k, (g, f) in data.items():
         want = ratio(g, raw, target) + ratio(f, *rep)
