@@ -119,11 +119,27 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(values)).cast(pa.list_(pa.int64()))
 
 
+def profiles(doc: np.ndarray, h: np.ndarray, n_texts: int) -> list[bytes]:
+    """Per text: how many of its shingles fall into each of ``2**j`` buckets, about six to a bucket.
+
+    The sum of the differences of two profiles is a lower bound of the number of
+    shingles that two sets do not share (also when a count stops at 255, or the
+    longer profile is folded to the length of the shorter)."""
+    size = np.bincount(doc, minlength=n_texts)
+    buckets = 1 << np.maximum(np.ceil(np.log2(np.maximum(size, 6) / 6)).astype(np.int64), 0)
+    base = np.cumsum(buckets) - buckets
+    slot = base[doc] + (mix(h ^ _U(0x589965CC75374CC3)) % buckets[doc].astype(_U)).astype(np.int64)
+    count = np.minimum(np.bincount(slot, minlength=int(buckets.sum())), 255).astype(np.uint8)
+    return [count[a:a + n].tobytes() for a, n in zip(base.tolist(), buckets.tolist())]
+
+
 def signed_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                percent: int = PERCENT) -> DataFrame:
-    """Written ``(key, n, h1, h2, sigs, near)`` per row: size and 128-bit hash of
-    its set, its signatures that are new in its slice, and the slice's texts that
-    had the others first.  A row without words has n = 0 and no signature."""
+                percent: int = PERCENT, tie: bool = True) -> DataFrame:
+    """Written ``(key, n, h1, h2, sigs, near, profile)`` per row: size and 128-bit
+    hash of its set, its signatures that are new in its slice, and the slice's
+    texts that had the others first.  Without ``tie`` only a copy of an earlier
+    set of the slice has no signatures, and the profile is filled in.  A row
+    without words has n = 0 and no signature."""
     def run(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches, "_text"):
             w = find_words(b.column(1), lower=True)
@@ -141,7 +157,13 @@ def signed_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
             sig_doc, sig = sig_doc[known], sig[known]
             order = np.lexsort((sig_doc, sig))
             sig_doc, sig = sig_doc[order], sig[order]
-            new = np.append(True, sig[1:] != sig[:-1])[:len(sig)]
+            if tie:
+                new = np.append(True, sig[1:] != sig[:-1])[:len(sig)]
+            else:
+                both = np.column_stack(hashes)
+                copy_of = np.unique(both, axis=0, return_index=True, return_inverse=True)
+                new = copy_of[1][copy_of[2].reshape(-1)][sig_doc] == sig_doc
+                sig_doc, sig, new = sig_doc[new], sig[new], new[new]
             leader = sig_doc[new][np.cumsum(new) - 1]
             pair = np.unique(sig_doc[~new] * w.n_texts + leader[~new])
             near_doc, near = pair // max(w.n_texts, 1), keys[pair % max(w.n_texts, 1)]
@@ -150,11 +172,12 @@ def signed_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
             yield pa.record_batch(
                 [b.column(0), pa.array(n), *map(pa.array, hashes),
                  _lists(sig[new][back].view(np.int64), np.searchsorted(sig_doc[new][back], bounds)),
-                 _lists(near.astype(np.int64), np.searchsorted(near_doc, bounds))],
-                names=["key", "n", "h1", "h2", "sigs", "near"])
+                 _lists(near.astype(np.int64), np.searchsorted(near_doc, bounds)),
+                 pa.nulls(w.n_texts, pa.binary()) if tie else pa.array(profiles(doc, h, w.n_texts), pa.binary())],
+                names=["key", "n", "h1", "h2", "sigs", "near", "profile"])
 
     src = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("_text"))
-    return written(src.mapInArrow(run, "key long, n long, h1 long, h2 long, sigs array<long>, near array<long>"), "sets")
+    return written(src.mapInArrow(run, "key long, n long, h1 long, h2 long, sigs array<long>, near array<long>, profile binary"), "sets")
 
 
 def candidate_edges(sets: DataFrame) -> DataFrame:
@@ -165,6 +188,65 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
     return shared.union(sets.select("key", F.explode("near"))).where("a <> b").distinct()
 
 
+def _spanning(rows: list, percent: int) -> list[tuple[int, int]]:
+    """Edges that tie together the sets of one signature whose sizes and profiles allow a link."""
+    size = np.array([r[1] for r in rows])
+    shortest = min(len(r[2]) for r in rows)
+    prof = np.array([np.frombuffer(r[2], np.uint8).reshape(-1, shortest).sum(axis=0) for r in rows], dtype=np.int32)
+    left, out = np.arange(len(rows)), []
+    while len(left) > 1:
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            p = front.pop()
+            ok = np.abs(prof[left] - prof[p]).sum(axis=1) * (100 + percent) <= (100 - percent) * (size[left] + size[p])
+            for q in left[ok].tolist():
+                out.append((rows[q][0], rows[p][0]))
+                front.append(q)
+            left = left[~ok]
+    return out
+
+
+def filtered_edges(sets: DataFrame, percent: int, held: int = 20_000) -> DataFrame:
+    """As ``candidate_edges``, but sets of one signature are tied only through
+    pairs that their sizes and profiles allow to be linked, which keeps clusters
+    small where documents share passages.  No linked pair is parted: it shares a
+    signature and passes the test.  Of a group beyond ``held`` sets the rest is
+    tied to its first set unseen, so memory is bounded and nothing is lost."""
+    sigs = sets.where("n > 0").select("key", F.explode("sigs").alias("sig"))
+    w = Window.partitionBy("sig")
+    shared = sigs.withColumns({"_lo": F.min("key").over(w), "_hi": F.max("key").over(w)}).where("_lo < _hi").select("key", "sig")
+    info = sets.where("n > 0 AND key IS NOT NULL").select("key", "n", "profile")
+    rows = shared.join(info, "key").repartition("sig").sortWithinPartitions("sig", "key").select("sig", "key", "n", "profile")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        at, group, known = None, [], set()
+
+        def edges():
+            found = [e for e in _spanning(group, percent) if e[0] != e[1] and e not in known] if len(group) > 1 else []
+            known.update(found)
+            if len(known) > 500_000:
+                known.clear()  # repeated edges only cost time
+            return found
+
+        for b in batches:
+            out = []
+            for sig, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if sig != at:
+                    out += edges()
+                    at, group = sig, []
+                if len(group) < held:
+                    group.append(row)
+                else:
+                    out.append((row[0], group[0][0]))
+            if out:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
+        last = edges()
+        if last:
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*last)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def check_blocks(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(a, b, links)`` from ``(cluster, key, n, elems)``: the exact links.
 
@@ -260,15 +342,19 @@ def shingle_elements(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                  percent: int = PERCENT) -> DataFrame:
+                  percent: int = PERCENT, tie: bool = True) -> DataFrame:
     """``(key, n_shingles, component_id, n_links)`` for every row of ``docs``.
 
+    ``tie`` chooses how sets of one signature are put into clusters, not what is
+    found: all together (cheapest at high thresholds), or only through pairs that
+    a lower bound of their difference allows (``filtered_edges``).
+
     Two texts link when ``100 * |intersection| >= percent * |union|``;
     ``component_id`` is the smallest key reachable by links, itself included;
     ``n_links`` counts the other different sets a text is linked to.  Null and
     empty texts are linked with nothing.  Rows of one key count as one document
     (linked by their key); a null key is linked with nothing and has a null component."""
-    sets = signed_sets(docs, key, text, shingle, percent)
+    sets = signed_sets(docs, key, text, shingle, percent, tie)
     rows = sets.select("key", "n", "h1", "h2")
     known = rows.where("n > 0 AND key IS NOT NULL")
     classes = written(known.groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.first("n").alias("n")), "classes")
@@ -278,7 +364,7 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
     twins = copies.join(of.withColumnRenamed("rep", "_r"), "key").where("rep <> _r").select(
         F.col("rep").alias("a"), F.col("_r").alias("b")).distinct()
 
-    ends = candidate_edges(sets)
+    ends = candidate_edges(sets) if tie else filtered_edges(sets, percent)
     for c in ("a", "b"):
         ends = ends.join(of.select(F.col("key").alias(c), F.col("rep").alias(f"_{c}")), c)
     clusters = connected_components(ends.select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b").distinct())
@@ -314,7 +400,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of one id are one document and leave one row (the smallest hash of its
     text); documents without words or without an id stay."""
-    found = written(similar_texts(docs, shingle=5, percent=80), "groups")
+    found = written(similar_texts(docs, shingle=5, percent=80, tie=False), "groups")
     gone = found.where("key <> component_id").select(F.col("key").alias("_gone")).distinct()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)

@@ -57,10 +57,10 @@ def brute(rows, percent=90):
     return sorted(out, key=repr), links
 
 
-def check(spark, rows):
+def check(spark, rows, tie=True, percent=90):
     docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, n string")
-    got = nj.similar_texts(docs).collect()
-    want, links = brute(rows)
+    got = nj.similar_texts(docs, tie=tie, percent=percent).collect()
+    want, links = brute(rows, percent)
     assert sorted(((r["key"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == want
     if len({k for k, _ in rows}) == len(rows):
         by = {k: len(links[plain_set(t)]) for k, t in rows if k is not None}
@@ -75,8 +75,8 @@ def edited(rng, words, n):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_copies(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed, tie, percent", [(1, True, 90), (2, False, 90), (3, False, 80)])
+def test_near_copies(spark, seed, tie, percent, monkeypatch):
     rng = random.Random(seed)
     rows = []
     for size in (3, 9, 10, 11, 14, 30, 60, 61, 200):
@@ -85,7 +85,7 @@ def test_near_copies(spark, seed, monkeypatch):
             rows.append((rng.randrange(10**9), edited(rng, base, rng.choice([0, 0, 1, 1, 2, 3, size // 30]))))
     rng.shuffle(rows)
     monkeypatch.setattr(nj, "BLOCK", 9000)  # many blocks to a cluster
-    check(spark, rows)
+    check(spark, rows, tie, percent)
 
 
 def test_odd_rows(spark):
@@ -93,6 +93,7 @@ def test_odd_rows(spark):
             (None, "one"), (6, "a b c " * 4000), (10, "a b c " * 4001), (11, "É b c"), (12, "é b c"), (6, "a b c " * 4000),
             (20, "p q r s t"), (20, "u v w x y"), (21, "u v w x y"), (19, "p q r s t")]
     check(spark, rows)
+    check(spark, rows, tie=False)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert nj.similar_texts(empty).count() == 0
 
