@@ -135,7 +135,7 @@ def profiles(doc: np.ndarray, h: np.ndarray, n_texts: int) -> list[bytes]:
 
 def signed_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                 percent: int = PERCENT, tie: bool = True) -> DataFrame:
-    """Written ``(key, n, h1, h2, sigs, near, profile)`` per row: size and 128-bit
+    """``(key, n, h1, h2, sigs, near, profile)`` per row: size and 128-bit
     hash of its set, its signatures that are new in its slice, and the slice's
     texts that had the others first.  Without ``tie`` only a copy of an earlier
     set of the slice has no signatures, and the profile is filled in.  A row
@@ -177,7 +177,7 @@ def signed_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
                 names=["key", "n", "h1", "h2", "sigs", "near", "profile"])
 
     src = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("_text"))
-    return written(src.mapInArrow(run, "key long, n long, h1 long, h2 long, sigs array<long>, near array<long>, profile binary"), "sets")
+    return src.mapInArrow(run, "key long, n long, h1 long, h2 long, sigs array<long>, near array<long>, profile binary")
 
 
 def candidate_edges(sets: DataFrame) -> DataFrame:
@@ -206,17 +206,23 @@ def _spanning(rows: list, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def filtered_edges(sets: DataFrame, percent: int, held: int = 20_000) -> DataFrame:
+def filtered_edges(signed: DataFrame, sets: DataFrame, percent: int, small: int = 64, held: int = 20_000) -> DataFrame:
     """As ``candidate_edges``, but sets of one signature are tied only through
     pairs that their sizes and profiles allow to be linked, which keeps clusters
     small where documents share passages.  No linked pair is parted: it shares a
     signature and passes the test.  Of a group beyond ``held`` sets the rest is
     tied to its first set unseen, so memory is bounded and nothing is lost."""
-    sigs = sets.where("n > 0").select("key", F.explode("sigs").alias("sig"))
+    sigs = signed.where("n > 0").select("key", F.explode("sigs").alias("sig"))
     w = Window.partitionBy("sig")
-    shared = sigs.withColumns({"_lo": F.min("key").over(w), "_hi": F.max("key").over(w)}).where("_lo < _hi").select("key", "sig")
+    shared = sigs.withColumns({"_lo": F.min("key").over(w), "_hi": F.max("key").over(w),
+                               "_c": F.count(F.lit(1)).over(w)}).where("_lo < _hi")
+    shared = written(shared.select("sig", "key", "_c"), "shared")
+    # sets alike share many signatures: each list of members is looked at once
+    lists = shared.where(F.col("_c") <= small).groupBy("sig").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    few = lists.select("keys").distinct().select(F.xxhash64("keys").alias("sig"), F.explode("keys").alias("key"))
+    many = shared.where(F.col("_c") > small).select("sig", "key")
     info = sets.where("n > 0 AND key IS NOT NULL").select("key", "n", "profile")
-    rows = shared.join(info, "key").repartition("sig").sortWithinPartitions("sig", "key").select("sig", "key", "n", "profile")
+    rows = few.union(many).join(info, "key").select("sig", "key", "n", "profile").repartition("sig").sortWithinPartitions("sig", "key")
 
     def run(batches: Iterator[pa.RecordBatch]):
         at, group, known = None, [], set()
@@ -354,7 +360,9 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
     ``n_links`` counts the other different sets a text is linked to.  Null and
     empty texts are linked with nothing.  Rows of one key count as one document
     (linked by their key); a null key is linked with nothing and has a null component."""
-    sets = signed_sets(docs, key, text, shingle, percent, tie)
+    signed = signed_sets(docs, key, text, shingle, percent, tie)
+    # many signatures are cheaper to make again than to keep
+    sets = written(signed if tie else signed.drop("sigs", "near"), "sets")
     rows = sets.select("key", "n", "h1", "h2")
     known = rows.where("n > 0 AND key IS NOT NULL")
     classes = written(known.groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.first("n").alias("n")), "classes")
@@ -364,7 +372,7 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
     twins = copies.join(of.withColumnRenamed("rep", "_r"), "key").where("rep <> _r").select(
         F.col("rep").alias("a"), F.col("_r").alias("b")).distinct()
 
-    ends = candidate_edges(sets) if tie else filtered_edges(sets, percent)
+    ends = candidate_edges(sets) if tie else filtered_edges(signed, sets, percent)
     for c in ("a", "b"):
         ends = ends.join(of.select(F.col("key").alias(c), F.col("rep").alias(f"_{c}")), c)
     clusters = connected_components(ends.select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b").distinct())
