@@ -124,13 +124,15 @@ def segment_words(words: DataFrame, merges) -> DataFrame:
 
 def encode_pieces(lines: DataFrame, key_cols, text_col: str, merges) -> DataFrame:
     """``(*keys, pieces array<string>)``: every line's words replaced by their pieces.
-    Distinct words are segmented once and joined back (AQE picks broadcast or shuffle)."""
-    ex = lines.select(*key_cols, F.posexplode(split_ws(F.lower(F.col(text_col)))).alias("pos", "word"))
-    distinct = ex.select("word").distinct()
+    Distinct words are segmented once and joined back (AQE picks broadcast or shuffle);
+    a line without words keeps its row with an empty array."""
+    ex = lines.select(*key_cols, F.posexplode_outer(split_ws(F.lower(F.col(text_col)))).alias("pos", "word"))
+    distinct = ex.select("word").where(F.col("word").isNotNull()).distinct()
     seg = segment_words(distinct, merges)
-    j = ex.join(seg, "word")
+    j = ex.join(seg, "word", "left")
     g = j.groupBy(*key_cols).agg(F.sort_array(F.collect_list(F.struct("pos", "pieces"))).alias("_s"))
-    return g.select(*key_cols, F.flatten(F.transform("_s", lambda s: F.split(s["pieces"], " "))).alias("pieces"))
+    return g.select(*key_cols, F.flatten(F.transform(
+        F.filter("_s", lambda s: s["pos"].isNotNull()), lambda s: F.split(s["pieces"], " "))).alias("pieces"))
 
 
 def detokenise(pieces: Column) -> Column:

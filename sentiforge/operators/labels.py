@@ -23,11 +23,11 @@ def class_table(df: DataFrame, label_col: str) -> DataFrame:
 def label_encode(df: DataFrame, label_col: str, out_col: str = "label_id") -> DataFrame:
     """Lexicographic integer ids learnt from the data (negative=0, neutral=1, ...).
 
-    The class table has one row per class (a label column, not a key); it is
-    broadcast so the encode is a map-side lookup with no shuffle of the data.
+    The class table has one row per class, which Spark broadcasts by its measured
+    size; a label column that turns out to be a key is joined by a shuffle.
     """
     classes = class_table(df, label_col)
-    return df.join(F.broadcast(classes), label_col, "left").withColumnRenamed("_id", out_col)
+    return df.join(classes, label_col, "left").withColumnRenamed("_id", out_col)
 
 
 def encode_fixed(df: DataFrame, label_col: str, classes: Sequence[str], out_col: str = "label") -> DataFrame:

@@ -43,12 +43,14 @@ def build_vocab(tokens: DataFrame, token_col: str = "token", min_count: int = 2)
 
 
 def encode(lines: DataFrame, key_cols: Sequence[str], tokens_col: str, vocab: DataFrame) -> DataFrame:
-    """``(*keys, ids array<int>)`` with unknown tokens mapped to <unk>."""
-    ex = lines.select(*key_cols, F.posexplode(tokens_col).alias("pos", "token"))
+    """``(*keys, ids array<int>)`` with unknown tokens mapped to <unk>; a line
+    without tokens keeps its row with an empty array."""
+    ex = lines.select(*key_cols, F.posexplode_outer(tokens_col).alias("pos", "token"))
     j = ex.join(vocab.select("token", "id"), "token", "left")
     g = j.groupBy(*key_cols).agg(
         F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))).alias("_s"))
-    return g.select(*key_cols, F.transform("_s", lambda s: s["id"]).alias("ids"))
+    seen = F.filter("_s", lambda s: s["pos"].isNotNull())
+    return g.select(*key_cols, F.transform(seen, lambda s: s["id"]).alias("ids"))
 
 
 def line_example(ids: Column, block_size: int) -> Column:
@@ -114,8 +116,9 @@ def bigram_perplexity(train: DataFrame, evaluate: DataFrame, tokens_col: str, ke
     ``train``; V = number of distinct predicted tokens in train (words and </s>)."""
     tb = train.select(F.inline(bigrams(F.col(tokens_col))))
     pair = tb.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c12"))
-    ctx = tb.groupBy("w1").agg(F.count(F.lit(1)).alias("c1"))
-    v = tb.agg(F.count_distinct("w2")).scalar()
+    # contexts and vocabulary follow from the pairs: the text is tokenised once
+    ctx = pair.groupBy("w1").agg(F.sum("c12").alias("c1"))
+    v = pair.agg(F.count_distinct("w2")).scalar()
     eb = (evaluate.select(key, F.inline(bigrams(F.col(tokens_col))))
           .groupBy(key, "w1", "w2").agg(F.count(F.lit(1)).alias("cnt")))
     j = eb.join(pair, ["w1", "w2"], "left").join(ctx, "w1", "left")

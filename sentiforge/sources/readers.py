@@ -27,6 +27,9 @@ def annotated_records(spark: SparkSession, path: str, labelled: bool = True) ->
     have the expected number of fields gives null fields and ``_corrupt`` set,
     not a failure.  Tokens are joined with one blank (no trailing blanks)."""
     raw = spark.read.option("lineSep", "\n\n").text(path)
+    # a file with CR or CRLF line ends holds no "\n\n" and arrives whole: cut it here
+    unix = F.regexp_replace("value", "\r\n?", "\n")
+    raw = raw.select(F.explode(F.split(unix, "\n{2,}")).alias("value"))
     lines = F.filter(F.split(F.col("value"), "\n"), lambda x: x != F.lit(""))
     head = F.split(F.get(lines, 0), "\t")
     n_fields = 3 if labelled else 2
@@ -54,15 +57,19 @@ def json_records(spark: SparkSession, path: str, schema: str | StructType = RECO
 def json_columns(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
     """Column-oriented JSON ``{"col": {"0": v, "1": v, ...}, ...}``.
 
-    ``columns`` maps column name to its value type.  Rows are the keys of the
-    first column (as ``row`` long); other columns are looked up by key, so
-    gaps in the index give nulls."""
+    ``columns`` maps column name to its value type.  Rows are the keys of any
+    column of a file (as ``row`` long); a column without the key gives null.
+    Every column is exploded to (key, value) and the keys are grouped, so the
+    work is linear in the number of values."""
     schema = ", ".join(f"`{c}` map<string, {t}>" for c, t in columns.items())
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
-    first = next(iter(columns))
-    rows = doc.select("*", F.explode(F.map_keys(F.col(first))).alias("_k"))
-    return rows.select(F.col("_k").cast("long").alias("row"),
-                       *[F.col(c)[F.col("_k")].alias(c) for c in columns])
+    doc = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("_file", F.input_file_name())
+    cells = None
+    for c in columns:
+        one = doc.select("_file", F.explode(F.col(f"`{c}`")).alias("_k", "_v")).select(
+            "_file", "_k", *[(F.col("_v") if d == c else F.lit(None).cast(t)).alias(d) for d, t in columns.items()])
+        cells = one if cells is None else cells.unionByName(one)
+    rows = cells.groupBy("_file", "_k").agg(*[F.first(F.col(f"`{c}`"), ignorenulls=True).alias(c) for c in columns])
+    return rows.select(F.col("_k").cast("long").alias("row"), *[F.col(f"`{c}`") for c in columns])
 
 
 def json_strings(spark: SparkSession, path: str) -> DataFrame:
