@@ -63,17 +63,21 @@ class Vocabulary:
                 low = min(low, sp.get_score(i))
         self.unknown = round(low - 10)
         self.longest = max(map(len, self.ids))
+        # beginnings of pieces too (with None), so that a search ends where no piece goes on
+        self.table = {p[:n]: None for p in self.ids for n in range(1, len(p))} | self.ids
         self.by_word = not any("▁" in p.lstrip("▁") for p in self.ids)
         self.byte_of = {i: b for b, i in self.bytes.items()}
 
     def starts(self, text: str, at: int):
         """(end, id or None, score) of the pieces of ``text`` from ``at``."""
-        get, found = self.ids.get, False
+        get, found = self.table.get, False
         for end in range(at + 1, min(at + self.longest, len(text)) + 1):
-            hit = get(text[at:end])
+            hit = get(text[at:end], False)
             if hit:
                 found = found or end == at + 1
                 yield end, hit[0], hit[1]
+            elif hit is False:
+                break
         if not found:
             yield at + 1, None, self.unknown
 
@@ -82,13 +86,25 @@ class Vocabulary:
         n = max(size, len(before) - 1) + self.longest
         best, back = [_NEVER] * (n + 1), [None] * (n + 1)
         best[:len(before)] = before
-        for at in range(size):
+        get, last, reach = self.table.get, len(text), self.longest
+        for at in range(size):  # ``starts`` written out: this is the inner loop of every word
             here = best[at]
             if here <= _NEVER // 2:
                 continue
-            for end, i, s in self.starts(text, at):
-                if here + s > best[end]:
-                    best[end], back[end] = here + s, (at, i)
+            one = get(text[at], False)
+            score = here + (one[1] if one else self.unknown)
+            if score > best[at + 1]:
+                best[at + 1], back[at + 1] = score, (at, one[0] if one else None)
+            if one is False:
+                continue
+            for end in range(at + 2, min(at + reach, last) + 1):
+                hit = get(text[at:end], False)
+                if hit:
+                    score = here + hit[1]
+                    if score > best[end]:
+                        best[end], back[end] = score, (at, hit[0])
+                elif hit is False:
+                    break
         return best, back
 
     def trace(self, text: str, size: int, before=(0,), exit_: int = 0) -> list[int]:
