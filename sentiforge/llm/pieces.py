@@ -180,7 +180,7 @@ def vocabulary(path: str) -> Vocabulary:
 class _Words(Encoder):
     """The memo of ``Encoder`` over words of normalised text, solved by ``Vocabulary.trace``."""
 
-    def __init__(self, path: str, memo_units: int = 1_000_000):
+    def __init__(self, path: str, memo_units: int = 400_000):
         self.vocab, self.memo_units, self.keeps_space = vocabulary(path), memo_units, False
         self._clear()
 
@@ -369,6 +369,7 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
 def digest(decoded: DataFrame) -> DataFrame:
     """``(key, n_tokens, ids_hash, exact)`` per text: number of ids, sum of id * place modulo 2^31 - 1 over the whole text."""
     p = (1 << 31) - 1
+    decoded = written(decoded, "decoded")  # both parts below read it
     whole = decoded.where("text_id IS NULL").select("key", "n_tokens", F.col("weighted").alias("ids_hash"), "exact")
     before = F.sum("n_tokens").over(Window.partitionBy("text_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     parts = decoded.where("text_id IS NOT NULL").withColumn("_o", F.coalesce(before, F.lit(0)))
