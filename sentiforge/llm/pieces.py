@@ -6,8 +6,9 @@ piece covers costs the lowest score less 10 and is written as byte pieces.
 Scores are whole numbers, so sums are exact; of equally good cuts the one whose
 last piece is longest (then the one before it, and so on) is taken.
 
-Pieces hold ``▁`` only at their start, so an ordinary text is the sum of its
-words and each distinct word is solved once.  A text above ``GIANT`` characters
+No piece goes over a pair of characters that stand beside each other in no piece,
+so every cut divides there: an ordinary text is the sum of the units between such
+places and each distinct unit is solved once.  A text above ``GIANT`` characters
 is split into chunks that become rows: the state at a chunk boundary is how far
 a piece reaches over it, and a chunk's transfer matrix holds the best score from
 every state before it to every state after it.  Max-plus products of matrices
@@ -15,7 +16,8 @@ are associative: they are combined per block of chunks, then the blocks of a
 text, which gives the scores of the states before every chunk.  With them each
 chunk maps a state after it to the state before it on the best path (ties
 included); these small maps are followed from the end of the text, and each
-chunk is traced on its own.
+chunk is traced on its own.  A chunk with such a place in it has a matrix of rank
+one (scores up to the place plus scores from it), found without the full recursion.
 """
 
 from __future__ import annotations
@@ -67,6 +69,28 @@ class Vocabulary:
         self.table = {p[:n]: None for p in self.ids for n in range(1, len(p))} | self.ids
         self.by_word = not any("▁" in p.lstrip("▁") for p in self.ids)
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        # [first byte, second byte]: both ASCII and beside each other in no piece
+        self.apart = np.zeros((256, 256), dtype=bool)
+        self.apart[:128, :128] = True
+        for p in self.ids:
+            for x, y in zip(p, p[1:]):
+                if x < "\x80" and y < "\x80":
+                    self.apart[ord(x), ord(y)] = False
+        raw = [bytes([self.byte_of[i]]) if i in self.byte_of else p.encode() for i, p in enumerate(self.pieces)]
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_len = np.array([len(x) for x in raw], dtype=np.int64)
+        self.raw_start = np.cumsum(self.raw_len) - self.raw_len
+
+    def divided(self, text: str, at: int) -> bool:
+        """No piece goes over position ``at`` of ``text``."""
+        x, y = text[at - 1], text[at]
+        if y == "▁":
+            return self.by_word and x != "▁"
+        return x < "\x80" and y < "\x80" and bool(self.apart[ord(x), ord(y)])
+
+    def first_division(self, text: str, size: int) -> int | None:
+        """The first such position that every state before the chunk has reached."""
+        return next((at for at in range(max(self.longest - 1, 1), size) if self.divided(text, at)), None)
 
     def starts(self, text: str, at: int):
         """(end, id or None, score) of the pieces of ``text`` from ``at``."""
@@ -123,6 +147,12 @@ class Vocabulary:
 
     def entries(self, text: str, size: int, before) -> list[int]:
         """The state before the chunk on the best path to each state after it."""
+        cut = self.first_division(text, size)
+        if cut is not None:  # every path goes through this place
+            _, back = self._forward(text[:cut], cut, before)
+            while back[cut]:
+                cut = back[cut][0]
+            return [cut if cut < self.longest else 0] * self.longest
         _, back = self._forward(text, size, before)
         out = []
         for j in range(self.longest):
@@ -135,6 +165,15 @@ class Vocabulary:
     def transfer(self, text: str, size: int) -> np.ndarray:
         """Matrix [state before, state after] of the chunk ``text[:size]``, followed by the characters beyond it."""
         m = self.longest
+        cut = self.first_division(text, size)
+        if cut is None:
+            return self.full_transfer(text, size)
+        best, _ = self._forward(text[cut:], size - cut, (0,))
+        return product(self.full_transfer(text[:cut], cut)[:, :1], np.array([best[size - cut:size - cut + m]], dtype=np.int64))
+
+    def full_transfer(self, text: str, size: int) -> np.ndarray:
+        """``transfer`` by the recursion over all states."""
+        m = self.longest
         best = np.full((size + m, m), _NEVER, dtype=np.int64)
         for i in range(m):
             best[i, i] = 0
@@ -145,21 +184,14 @@ class Vocabulary:
                     np.maximum(best[end], here + s, out=best[end])
         return np.maximum(best[size:size + m].T, _NEVER)
 
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """UTF-8 of the normalised text of ids."""
+        n = self.raw_len[ids]
+        return self.raw[np.arange(int(n.sum())) + np.repeat(self.raw_start[ids] - np.cumsum(n) + n, n)].tobytes()
+
     def decode(self, ids) -> str:
         """The normalised text of ids."""
-        out, raw = [], bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(self.pieces[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        return "".join(out)
+        return self.decode_bytes(np.asarray(ids, dtype=np.int64)).decode("utf-8", "replace")
 
 
 def plain_text(normalised: str) -> str:
@@ -194,6 +226,8 @@ class _Words(Encoder):
         if self.vocab.by_word:
             cut[:n] = mark[:n]
             cut[3:n] &= ~mark[:max(n - 3, 0)]  # only the first of a run of ▁
+        if n > 1:
+            cut[1:n] |= self.vocab.apart[buf[:-1], buf[1:]]
         cut[off[:-1]] = True
         s = np.flatnonzero(cut[:n])
         e = np.append(s[1:], n)
@@ -356,7 +390,7 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
             for k, tid, c, raw, cut in zip(*(x.to_pylist() for x in b.columns)):
                 ids = np.frombuffer(raw, "<u4").astype(np.int64)
                 place = (ids * (np.arange(len(ids)) % p)) % p
-                out.append((k, tid, c, len(ids), int(place.sum() % p), int(ids.sum() % p), vocab.decode(ids.tolist()) == cut))
+                out.append((k, tid, c, len(ids), int(place.sum() % p), int(ids.sum() % p), vocab.decode_bytes(ids) == cut.encode()))
             if out:
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.int64(),
                                                                                   pa.int64(), pa.int64(), pa.bool_()))],

@@ -100,3 +100,23 @@ def test_query(spark):
         ids = VOCAB.trace(norm, len(norm))
         assert r["exact"] and r["n_tokens"] == len(ids)
         assert r["ids_hash"] == sum(i * p for p, i in enumerate(ids)) % ((1 << 31) - 1)
+
+
+def test_units_and_divided_chunks_change_nothing():
+    """Solving units between divisions, and rank-one matrices, give what the plain search gives."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    atoms = ["one", "two.", "3.14", "a,b", "(x)", "\n", "\t", " ", "  ", "é", "漢", "42", "--", "'s", "…", "word", "https://a.b/c?d=e", "▁"]
+    all_texts = [pc.normalise(t) for t in texts()] + [
+        pc.normalise("".join(rng.choice(atoms) for _ in range(rng.randrange(1, 60)))) for _ in range(200)]
+    ids, off = pc._Words(PATH).encode(pa.array(all_texts, pa.large_string()))
+    for t, a, z in zip(all_texts, off[:-1], off[1:]):
+        assert ids[a:z].tolist() == VOCAB.trace(t, len(t)), t
+    divided = 0
+    for t in all_texts:
+        for size in (len(t) // 2, len(t)):
+            if size:
+                divided += VOCAB.first_division(t, size) is not None
+                assert (VOCAB.transfer(t, size) == VOCAB.full_transfer(t, size)).all(), (t, size)
+    assert divided > 100
