@@ -138,24 +138,34 @@ def with_bigrams(tokens: Column) -> Column:
 
 
 def _accent_table() -> tuple[str, str]:
-    """Derived by rule: every Latin letter in U+00C0..U+024F whose canonical
-    decomposition is one base letter plus combining marks maps to that letter."""
-    src, dst = [], []
-    for cp in range(0xC0, 0x250):
+    """Derived by rule for all of Unicode: a character whose decomposition without
+    combining marks is one character maps to it, a combining mark to nothing.
+    Below U+0250 only canonical decompositions count, above compatible ones too.
+    Deleted characters stand last, where ``translate`` finds no partner."""
+    one, gone = [], []
+    for cp in [*range(0xC0, 0xD800), *range(0xE000, 0x20000)]:
         ch = chr(cp)
-        base = "".join(c for c in unicodedata.normalize("NFD", ch) if not unicodedata.combining(c))
-        if base != ch and len(base) == 1:
-            src.append(ch)
-            dst.append(base)
-    return "".join(src), "".join(dst)
+        form = "NFD" if cp < 0x250 else "NFKD"
+        base = "".join(c for c in unicodedata.normalize(form, ch) if not unicodedata.combining(c))
+        if not base:
+            gone.append(ch)
+        elif base != ch and len(base) == 1:
+            one.append((ch, base))
+    return "".join(ch for ch, _ in one) + "".join(gone), "".join(base for _, base in one)
 
 
 ACCENT_FROM, ACCENT_TO = _accent_table()
+_LIGATURES = {chr(cp): unicodedata.normalize("NFKD", chr(cp)) for cp in range(0xFB00, 0xFB07)}
 
 
 def strip_accents(col: Column) -> Column:
-    """Drop diacritics from Latin letters with one ``translate`` (no Python worker)."""
-    return F.translate(col, ACCENT_FROM, ACCENT_TO)
+    """Drop diacritics and combining marks of any script with one ``translate`` (no
+    Python worker); Latin ligatures are spelled out.  Other characters that stand
+    for several (Hangul syllables, fractions) stay as they are."""
+    spelled = col
+    for ch, letters in _LIGATURES.items():
+        spelled = F.replace(spelled, F.lit(ch), F.lit(letters))
+    return F.translate(F.when(col.rlike("[\ufb00-\ufb06]"), spelled).otherwise(col), ACCENT_FROM, ACCENT_TO)
 
 
 def char_ngrams(col: Column, n: int = 3) -> Column:

@@ -31,8 +31,11 @@ def label_encode(df: DataFrame, label_col: str, out_col: str = "label_id") -> Da
 
 
 def encode_fixed(df: DataFrame, label_col: str, classes: Sequence[str], out_col: str = "label") -> DataFrame:
-    """Encode with a known class list (position = id); unknown labels -> null."""
-    return df.withColumn(out_col, map_values(F.col(label_col), {c: i for i, c in enumerate(classes)}))
+    """Encode with a known class list (position = id); null stays null, an unknown label raises."""
+    known = map_values(F.col(label_col), {c: i for i, c in enumerate(classes)})
+    unknown = F.col(label_col).isNotNull() & known.isNull()
+    error = F.raise_error(F.concat(F.lit("unknown label: "), F.col(label_col).cast("string")))
+    return df.withColumn(out_col, F.when(unknown, error.cast("int")).otherwise(known))
 
 
 def decode_fixed(col: Column, classes: Sequence[str]) -> Column:

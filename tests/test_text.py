@@ -1,12 +1,14 @@
 """Golden values for the cleaners, arg-max, vote and regex parity."""
 
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from sentiforge.functions import arrays as A
 from sentiforge.functions import text as T
+from sentiforge.operators.labels import encode_fixed
 from sentiforge.operators.vote import majority_vote
 
 TOY = "RT @someone https://something hello"
@@ -40,6 +42,21 @@ def test_strip_accents(spark):
     assert _one(spark, T.strip_accents, "Crème Brûlée ÀÉÎÕÜ") == "Creme Brulee AEIOU"
 
 
+def test_strip_accents_beyond_latin(spark):
+    """Combining marks, Vietnamese, Devanagari, ligatures, wide and mathematical letters: as NFKD without marks."""
+    text = "e\u0301 ti\u1ebfng \u0928\u094d \u0958 \ufb01n \uff21 \U0001d400 \u03ac 漢 😀"
+    want = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    assert _one(spark, T.strip_accents, text) == want
+    assert _one(spark, T.strip_accents, None) is None
+
+
+def test_unknown_label_raises(spark):
+    df = spark.createDataFrame([("a",), (None,)], "lab string")
+    assert [r.label for r in encode_fixed(df, "lab", ["a", "b"]).collect()] == [0, None]
+    with pytest.raises(Exception, match="unknown label"):
+        encode_fixed(df, "lab", ["b"]).collect()
+
+
 def test_bigrams(spark):
     df = spark.createDataFrame([(["a", "b", "c"],), (["x"],), ([],)], "t array<string>")
     out = [r[0] for r in df.select(T.with_bigrams(F.col("t"))).collect()]
