@@ -1,8 +1,9 @@
 """Quality rules with a hashed n-gram likelihood ratio (operator 6).
 
 Two multinomials over hashed n-grams are estimated: one from the trusted
-target (texts whose label is good), one from the whole raw corpus.  A text's
-score is the mean log-ratio of its n-grams, so length does not matter, and it
+target (texts whose label is good), one from the whole raw corpus.  Each
+distinct text counts once in both, so copies do not lower their own ratio; it is
+trusted if any of its copies is.  A text's score is the mean log-ratio of its n-grams, so length does not matter, and it
 is kept if it passes the base counts and its score reaches ``threshold``.
 
 N-grams come from two streams: all 4-byte windows of the text, hashed to
@@ -10,7 +11,8 @@ N-grams come from two streams: all 4-byte windows of the text, hashed to
 three words repeat their predecessor (8 buckets).  Each stream is normalised
 by its own length and the two means are added.
 
-Counting is one pass that sends one row per task and touched bucket; the
+Copies are found by hash, without a shuffle of texts, and each weighs one over
+their number.  Counting is one pass that sends one row per task and touched bucket; the
 weight table has ``2**bits + 8`` entries whatever the corpus size.
 """
 
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentiforge.llm import counts
+from sentiforge.llm.shared import written
 from sentiforge.llm.words import Words, find_words, slices, text_bytes
 
 BITS = 18
@@ -31,7 +34,7 @@ SMOOTHING = 8.0
 THRESHOLD = -0.2
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-BROADCAST_ROWS = 1_000_000  # trusted keys up to this number are sent to every executor, else both sides are shuffled
+BROADCAST_ROWS = 1_000_000  # trusted keys, or copied texts, up to this number are sent to every executor, else both sides are shuffled
 
 
 def byte_grams(buf: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -60,29 +63,33 @@ def repeat_grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return (r[:-2] * 4 + r[1:-1] * 2 + r[2:])[ok], w.doc[2:][ok]
 
 
-def ngram_counts(docs: DataFrame, text: str, trusted: str, bits: int = BITS) -> DataFrame:
-    """``(bucket, raw, target)`` over all rows; ``trusted`` is a boolean column."""
+def ngram_counts(docs: DataFrame, text: str, trusted: str, weight: str, bits: int = BITS) -> DataFrame:
+    """``(bucket, raw, target)`` over all rows; ``trusted`` is a boolean column,
+    ``weight`` one over the number of rows with that text."""
     size = (1 << bits) + 8
 
     def run(batches: Iterator[pa.RecordBatch]):
-        raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        raw, target = np.zeros(size), np.zeros(size)
         for b in slices(batches, "_text"):
             w = find_words(b.column(0))
             good = b.column(1).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+            share = b.column(2).to_numpy(zero_copy_only=False)
             g, valid = byte_grams(w.buf, w.offsets, bits)
-            of_good = np.repeat(good, np.diff(w.offsets))
-            raw[:1 << bits] += np.bincount(g[valid], minlength=1 << bits)
-            target[:1 << bits] += np.bincount(g[valid & of_good], minlength=1 << bits)
+            length = np.diff(w.offsets)
+            of_good, of_share = np.repeat(good, length), np.repeat(share, length)
+            raw[:1 << bits] += np.bincount(g[valid], weights=of_share[valid], minlength=1 << bits)
+            target[:1 << bits] += np.bincount(g[valid & of_good], weights=of_share[valid & of_good], minlength=1 << bits)
             r, doc = repeat_grams(w)
-            raw[1 << bits:] += np.bincount(r, minlength=8)
-            target[1 << bits:] += np.bincount(r[good[doc]], minlength=8)
+            raw[1 << bits:] += np.bincount(r, weights=share[doc], minlength=8)
+            target[1 << bits:] += np.bincount(r[good[doc]], weights=share[doc][good[doc]], minlength=8)
         at = np.flatnonzero(raw)
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(raw[at]), pa.array(target[at])],
                               names=["bucket", "raw", "target"])
 
-    src = docs.select(F.col(text).alias("_text"), F.col(trusted).cast("boolean").alias("_good"))
-    return (src.mapInArrow(run, "bucket int, raw long, target long")
-            .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
+    src = docs.select(F.col(text).alias("_text"), F.col(trusted).cast("boolean").alias("_good"), F.col(weight).alias("_share"))
+    # the shares of a text's copies sum to 1, so totals are whole numbers but for rounding
+    return (src.mapInArrow(run, "bucket int, raw double, target double")
+            .groupBy("bucket").agg(*[F.round(F.sum(c)).cast("long").alias(c) for c in ("raw", "target")]))
 
 
 def log_ratios(table: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING) -> np.ndarray:
@@ -123,10 +130,26 @@ def trusted_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Da
     return docs.join(good, docs[key] == good["_k"], "left").withColumn("_trusted", F.coalesce("_g", F.lit(False))).drop("_g", "_k")
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS) -> np.ndarray:
-    """Weights from all texts of ``docs``, trusted ones marked by ``labels``."""
+def distinct_weights(marked: DataFrame, text: str = "_t") -> DataFrame:
+    """``marked`` with ``_weight``, one over the number of rows with its text, and
+    ``_trusted`` if any of those rows is."""
+    hashes = {"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text)}
+    copied = (marked.select(*[h.alias(n) for n, h in hashes.items()], "_trusted").groupBy("_h1", "_h2")
+              .agg(F.count(F.lit(1)).alias("_c"), F.max("_trusted").alias("_any")).where("_c > 1"))
+    copied = written(copied, "copied")
+    if copied.count() <= BROADCAST_ROWS:
+        copied = F.broadcast(copied)
+    return (marked.withColumns(hashes).join(copied, ["_h1", "_h2"], "left")
+            .withColumns({"_weight": 1.0 / F.coalesce("_c", F.lit(1)), "_trusted": F.coalesce("_any", "_trusted")})
+            .drop("_h1", "_h2", "_c", "_any"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS,
+        distinct: bool = False) -> np.ndarray:
+    """Weights from all texts of ``docs``, trusted ones marked by ``labels``; with ``distinct``, copies count as one text."""
     marked = trusted_texts(docs.select(F.col(key).alias("_key"), F.col(text).alias("_t")), labels, "_key")
-    return log_ratios(ngram_counts(marked, "_t", "_trusted", bits), bits)
+    marked = distinct_weights(marked) if distinct else marked.withColumn("_weight", F.lit(1.0))
+    return log_ratios(ngram_counts(marked, "_t", "_trusted", "_weight", bits), bits)
 
 
 def judge(docs: DataFrame, weights: np.ndarray, text: str = "text", carry: list[str] | None = None,
@@ -159,14 +182,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document; trusted are those labelled quality 1."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    out = judge(docs, fit(docs, labels), carry=["doc_id"])
+    out = judge(docs, fit(docs, labels, distinct=True), carry=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", "kept", "llr")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows of ``docs`` that are kept, with their columns."""
-    weights = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    weights = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), distinct=True)
     # the counts get names that no column of documents has
     names = {c: f"_d{i}" for i, c in enumerate(docs.columns)}
     renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])

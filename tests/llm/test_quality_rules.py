@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from sentiforge.llm import counts, words
@@ -103,3 +104,25 @@ def test_odd_rows(spark, tmp_path):
     assert out.columns == docs.columns and out.count() == 3
     assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert np.isfinite(fit(docs.limit(0), none)).all()
+
+
+def test_copies_count_once(spark, tmp_path, monkeypatch):
+    """A clean unlabelled group of copies that holds a third of all rows is kept, as its text is alone."""
+    from sentiforge.llm import quality_rules
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").dropDuplicates(["text"]).cache()
+    labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    plain_weights = fit(docs, labels)  # no text twice
+    probe = judge(docs, plain_weights, carry=["doc_id"]).where("kept").join(labels, "doc_id", "left_anti").orderBy("llr").first()
+    n = docs.count() // 2
+    first = 10 ** 9
+    ids = spark.range(first, first + n).withColumnRenamed("id", "_id")
+    copies = ids.crossJoin(docs.where(docs["doc_id"] == probe["doc_id"])).withColumn("doc_id", F.col("_id")).select(*docs.columns)
+    hot = docs.union(copies).cache()
+    assert np.array_equal(fit(hot, labels, distinct=True), plain_weights)
+    assert stage(spark, hot, str(tmp_path)).where(F.col("doc_id") >= first).count() == n
+    one = labels.union(spark.createDataFrame([(first, 1, 0)], labels.schema))  # any trusted copy makes the text trusted
+    alone = labels.union(spark.createDataFrame([(probe["doc_id"], 1, 0)], labels.schema))
+    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", 0)
+    assert np.array_equal(fit(hot, one, distinct=True), fit(docs, alone))
+    docs.unpersist(), hot.unpersist()
