@@ -13,7 +13,7 @@ from sentiforge.llm.shared import written
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
-    ("ngram_join", ngram_join.stage),
+    ("ngram_join", ngram_join.stage_rows),
     ("substring_dedup", passages.stage),
     ("pii", disclosure.stage),
     ("best_fit_packing", packing.stage),

@@ -420,3 +420,26 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = left.join(twice, left["doc_id"] == F.col("_twice"), "left_semi")
     pick = again.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
     return once.unionByName(pick.where("_row = 1").drop("_row"))
+
+
+def stage_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of every group of near duplicates (five words, 0.8) the row with the smallest id stays.
+
+    Each row is judged by its own text: unlike texts of one id all stay, and no
+    group goes through an id.  Of rows alike in id and text one stays; rows
+    without an id stay, and so do texts without words."""
+    several = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if not several.limit(1).count():
+        return stage(spark, docs, sf_dir)
+    # written once, so that the numbers hold for every later reader
+    rows = written(docs.withColumn("_node", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
+    found = written(similar_texts(rows, key="_node", shingle=5, percent=80, tie=False), "groups").where("key IS NOT NULL")
+    place = rows.where("_node IS NOT NULL").select("_node", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tag"))
+    placed = found.join(place, F.col("key") == F.col("_node"))
+    blank = F.col("n_shingles") == 0
+    stays = (placed.groupBy(F.when(~blank, F.col("component_id")), F.when(blank, F.col("_id")), F.when(blank, F.col("_tag")))
+             .agg(F.min(F.struct("_id", "_tag", "_node")).alias("_s")).select(F.col("_s._node").alias("key")))
+    gone = written(found.select("key").join(stays, "key", "left_anti").select(F.col("key").alias("_gone")), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, rows["_node"] == F.col("_gone"), "left_anti").drop("_node")

@@ -120,3 +120,23 @@ def test_whole_table(spark):
     want, _ = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
     got = nj.op3_ngram_join(spark, SF_SMALL).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == want
+
+
+def test_rows_of_one_id_are_judged_by_their_text(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    a, b, c = text(), text(), text()
+    near = "changed " + b.split(" ", 1)[1]
+    hot = [text() for _ in range(30)]
+    rows = [(19, a), (20, a), (20, b), (20, c), (20, c), (21, b), (22, near), (23, c), (24, text()),
+            (None, a), (None, a), (30, ""), (30, ""), (30, None), (31, "")]
+    rows += [(7, t) for t in hot] + [(40, hot[3]), (6, hot[5])]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, source string")
+    stage = dict(corpus_pipeline.STAGES)["ngram_join"]
+    got = stage(spark, docs, "")
+    want = [(19, a), (20, b), (20, c), rows[8], (None, a), (None, a), (30, ""), (30, None), (31, ""), (6, hot[5])]
+    want += [(7, t) for t in hot if t != hot[5]]
+    assert got.columns == docs.columns
+    assert sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=repr) == sorted(want, key=repr)
