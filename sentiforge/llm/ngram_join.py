@@ -138,7 +138,7 @@ def signed_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     """``(key, n, h1, h2, sigs, near, profile)`` per row: size and 128-bit
     hash of its set, its signatures that are new in its slice, and the slice's
     texts that had the others first.  Without ``tie`` only a copy of an earlier
-    set of the slice has no signatures, and the profile is filled in.  A row
+    set of the slice with a key has no signatures, and the profile is filled in.  A row
     without words has n = 0 and no signature."""
     def run(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches, "_text"):
@@ -153,16 +153,19 @@ def signed_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
                     hashes.append(mix(sums + n.astype(_U)).view(np.int64))
             keys = np.asarray(b.column(0).fill_null(0))
             sig_doc, sig = signatures(doc, h, w.n_texts, percent)
-            known = np.asarray(b.column(0).is_valid())[sig_doc]
+            has_key = np.asarray(b.column(0).is_valid())
+            known = has_key[sig_doc]
             sig_doc, sig = sig_doc[known], sig[known]
             order = np.lexsort((sig_doc, sig))
             sig_doc, sig = sig_doc[order], sig[order]
             if tie:
                 new = np.append(True, sig[1:] != sig[:-1])[:len(sig)]
             else:
-                both = np.column_stack(hashes)
-                copy_of = np.unique(both, axis=0, return_index=True, return_inverse=True)
-                new = copy_of[1][copy_of[2].reshape(-1)][sig_doc] == sig_doc
+                live = np.flatnonzero(has_key)  # a row without a key signs for no copy
+                copy_of = np.unique(np.column_stack(hashes)[live], axis=0, return_index=True, return_inverse=True)
+                first = np.full(w.n_texts, -1)
+                first[live] = live[copy_of[1][copy_of[2].reshape(-1)]]
+                new = first[sig_doc] == sig_doc
                 sig_doc, sig, new = sig_doc[new], sig[new], new[new]
             leader = sig_doc[new][np.cumsum(new) - 1]
             pair = np.unique(sig_doc[~new] * w.n_texts + leader[~new])

@@ -140,3 +140,14 @@ def test_rows_of_one_id_are_judged_by_their_text(spark):
     want += [(7, t) for t in hot if t != hot[5]]
     assert got.columns == docs.columns
     assert sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("tie", [True, False])
+def test_a_copy_without_a_key_comes_first(spark, tie):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, base), (5, base), (None, base), (6, base + " more"), (None, "one two"), (None, "x " + base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = nj.similar_texts(docs, tie=tie).collect()
+    assert {r["key"]: r["component_id"] for r in got} == {5: 5, 6: 5, None: None}
+    nobody = docs.where("doc_id IS NULL")
+    assert nj.similar_texts(nobody, tie=tie).where("component_id IS NULL").count() == 4
