@@ -6,7 +6,8 @@ occurrences of a seed are joined to its first one (smallest key), a star, never
 to each other.  Per pair of documents the matches are chained: the best chain
 through matches that ascend in both texts, with a cost per skipped word, is
 found with a Fenwick tree of prefix maxima.  Chains are cut at wide gaps, the
-words between and beyond their seeds are aligned, and the aligned spans of a
+words between and beyond their seeds are aligned and cut again where more than
+``JOIN_GAP`` words of the document have no match, and the aligned spans of a
 document that touch (perhaps against different documents) form its passages.
 
 The first document with a passage keeps it; the others have it reported.
@@ -31,7 +32,7 @@ MIN_WORDS = 45   # of a passage: a little below 50, so that edited ends do not h
 MAX_GAP = 40     # words between neighbouring seeds of a chain
 GAP_COST = 0.1   # per skipped word, in either text
 MARGIN = 20      # words beyond a chain that are aligned: a longer common run has a seed of its own
-JOIN_GAP = 3     # spans this close are one passage
+JOIN_GAP = 3     # spans this close are one passage; a longer stretch of a document's own words parts them
 CHAINS_PER_COPY = 2000   # a text that more chains refer to is sent to several tasks
 BROADCAST_ROWS = 1_000_000
 
@@ -190,16 +191,31 @@ def chain_table(matches: DataFrame) -> DataFrame:
     return written(ordered.mapInArrow(run, "key long, tag long, rkey long, rtag long, xs array<long>, ys array<long>"), "chains")
 
 
-def _global(a: list[int], b: list[int]) -> int:
-    """Most words in common, in order (longest common subsequence)."""
-    row = [0] * (len(b) + 1)
+def _global(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places (in a, in b) of the most words in common, in order (longest common subsequence)."""
+    table = [[0] * (len(b) + 1)]
     for u in a:
-        diag = 0
-        for j, v in enumerate(b, 1):
-            keep = row[j]
-            row[j] = diag + 1 if u == v else (row[j] if row[j] >= row[j - 1] else row[j - 1])
-            diag = keep
-    return row[-1]
+        last, row = table[-1], [0]
+        for j, v in enumerate(b):
+            row.append(last[j] + 1 if u == v else (row[j] if row[j] >= last[j + 1] else last[j + 1]))
+        table.append(row)
+    out, i, j = [], len(a), len(b)
+    while i and j and table[i][j]:
+        if table[i][j] == table[i - 1][j]:
+            i -= 1
+        elif table[i][j] == table[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Matching places of two stretches that are aligned with each other."""
+    if len(a) == len(b):
+        return [(i, i) for i in np.flatnonzero(a == b).tolist()]
+    return _global(a.tolist(), b.tolist())
 
 
 def _extend(a: list[int], b: list[int]) -> tuple[int, int, int]:
@@ -227,21 +243,42 @@ def _extend(a: list[int], b: list[int]) -> tuple[int, int, int]:
 
 
 def align(xs: list[int], ys: list[int], a: np.ndarray, a0: int, b: np.ndarray, b0: int, k: int = K):
-    """(start, end, ref start, ref end, matches) of a chain, from the words around it.
+    """``(start, end, ref start, ref end, matches)`` of each repeated piece of a chain, from the words around it.
 
     ``a[0]`` is word ``a0`` of the document, ``b[0]`` word ``b0`` of the other."""
     x, y = xs[0], ys[0]
-    matches = 0
+    runs = []  # (x, y, words alike from there)
+    between = lambda x0, x1, y0, y1: [(x0 + i, y0 + j, 1) for i, j in _pairs(a[x0 - a0:x1 - a0], b[y0 - b0:y1 - b0])]
+    n, m, _ = _extend(a[:x - a0][::-1][:MARGIN].tolist(), b[:y - b0][::-1][:MARGIN].tolist())
+    runs += between(x - n, x, y - m, y)
     for i, j in zip(xs, ys):  # (x, y): aligned so far
-        ga, gb = a[x - a0:max(i, x) - a0], b[y - b0:max(j, y) - b0]
-        if len(ga) and len(gb):
-            matches += int((ga == gb).sum()) if len(ga) == len(gb) else _global(ga.tolist(), gb.tolist())
+        if i > x and j > y:
+            runs += between(x, i, y, j)
         step = min(k, i + k - x, j + k - y)
-        matches += max(step, 0)
+        if step > 0:
+            runs.append((i + k - step, j + k - step, step))
         x, y = max(x, i + k), max(y, j + k)
-    left = _extend(a[:xs[0] - a0][::-1][:MARGIN].tolist(), b[:ys[0] - b0][::-1][:MARGIN].tolist())
-    right = _extend(a[x - a0:][:MARGIN].tolist(), b[y - b0:][:MARGIN].tolist())
-    return xs[0] - left[0], x + right[0], ys[0] - left[1], y + right[1], matches + left[2] + right[2]
+    n, m, _ = _extend(a[x - a0:][:MARGIN].tolist(), b[y - b0:][:MARGIN].tolist())
+    return _pieces(runs + between(x, x + n, y, y + m), k)
+
+
+def _pieces(runs: list[tuple[int, int, int]], k: int) -> list[tuple[int, int, int, int, int]]:
+    """Cuts a chain's runs where the document's unmatched words outnumber the matched ones by more than ``JOIN_GAP``.
+
+    Scattered chance matches do not bridge a document's own words; pieces below ``k`` words have no seed."""
+    out, piece, score, best, end, matches = [], None, 0, 0, 0, 0
+    for x, y, n in runs:
+        if piece is not None:
+            score -= x - end
+            if best - score > JOIN_GAP or score < 0:
+                out.append(piece)
+                piece = None
+        if piece is None:
+            piece, score, best, matches = (x, x, y, y, 0), 0, 0, 0
+        score, end, matches = score + n, x + n, matches + n
+        if score >= best:
+            best, piece = score, (piece[0], x + n, piece[2], y + n, matches)
+    return [p for p in [*out, piece] if p is not None and p[1] - p[0] >= k]
 
 
 _SIDE = "kind int, key long, tag long, copy int, _text string, okey long, otag long, xs array<long>, ys array<long>, words binary, base long"
@@ -273,7 +310,7 @@ def _beside(texts: DataFrame, chains: DataFrame, work, schema: str) -> DataFrame
                     if at != (key, tag):
                         at, words = (key, tag), find_words(pa.array([text]), lower=True).hash
                 elif at == (key, tag):
-                    out.append(work(key, tag, words, okey, otag, xs, ys, other, base))
+                    out.extend(work(key, tag, words, okey, otag, xs, ys, other, base))
             if out:
                 yield pa.RecordBatch.from_pylist(out)
 
@@ -294,13 +331,14 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     def cut(key, tag, words, okey, otag, xs, ys, other, base):
         lo = max(xs[0] - MARGIN, 0)
-        return {"key": okey, "tag": otag, "okey": key, "otag": tag, "xs": xs, "ys": ys, "base": lo,
-                "words": words[lo:xs[-1] + K + MARGIN].tobytes()}
+        return [{"key": okey, "tag": otag, "okey": key, "otag": tag, "xs": xs, "ys": ys, "base": lo,
+                 "words": words[lo:xs[-1] + K + MARGIN].tobytes()}]
 
     def match(rkey, rtag, words, key, tag, xs, ys, other, base):
         lo = max(ys[0] - MARGIN, 0)
-        a, z, ra, rz, n = align(xs, ys, np.frombuffer(other, np.uint64), base, words[lo:ys[-1] + K + MARGIN], lo)
-        return {"key": key, "tag": tag, "start": a, "end": z, "n_matches": n, "ref_key": rkey, "ref_start": ra, "ref_end": rz}
+        found = align(xs, ys, np.frombuffer(other, np.uint64), base, words[lo:ys[-1] + K + MARGIN], lo)
+        return [{"key": key, "tag": tag, "start": a, "end": z, "n_matches": n, "ref_key": rkey, "ref_start": ra, "ref_end": rz}
+                for a, z, ra, rz, n in found]
 
     need = chains.select("key", "tag").union(chains.select("rkey", "rtag")).distinct()
     if need.count() <= BROADCAST_ROWS:

@@ -114,3 +114,26 @@ def test_every_long_common_run_has_a_seed():
         texts = [" ".join(words(rng, rng.randrange(30)) + run + words(rng, rng.randrange(30))) for _ in range(2)]
         doc, _, h = ps.seeds_of(find_words(pa.array(texts)))
         assert set(h[doc == 0].tolist()) & set(h[doc == 1].tolist())
+
+
+def test_own_words_between_passages_stay(spark):
+    rng = random.Random(9)
+    left, right, phrases = words(rng, 60), words(rng, 60), [words(rng, 22) for _ in range(6)]
+    common = words(rng, 1)
+    rows, own = [], {}
+    for i in range(4):
+        own[i] = words(rng, 20 + i)
+        own[i][5::6] = common * len(own[i][5::6])  # a word both have by chance
+        rows.append((i, " ".join(words(rng, 30) + left + own[i] + right + words(rng, 30))))
+    form = {}
+    for i in range(10, 14):  # shared phrases, each below MIN_WORDS, with own content between
+        form[i] = " ".join(w for p in phrases for w in p + words(rng, 12))
+        rows.append((i, form[i]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["text"] for r in ps.stage(spark, docs, "").collect()}
+    text = dict(rows)
+    assert got[0] == text[0]
+    for i in range(1, 4):
+        w = text[i].split()
+        assert got[i].split() == w[:30] + own[i] + w[-30:]
+    assert all(got[i] == t for i, t in form.items())
