@@ -5,6 +5,8 @@ from __future__ import annotations
 from sentiforge.llm.chat_windows import op7_chat_windows
 from sentiforge.llm.collision_search import op10_collision_search
 from sentiforge.llm.disclosure import op2_disclosure
+from sentiforge.llm.lexical_rank import ORACLE_SQL as LEXICAL_SQL
+from sentiforge.llm.lexical_rank import op13_lexical_rank
 from sentiforge.llm.ngram_join import op3_ngram_join
 from sentiforge.llm.packing import op5_best_fit_packing
 from sentiforge.llm.passages import op4_passages
@@ -24,6 +26,7 @@ QUERIES = {
     "op8_token_codes": op8_token_codes,
     "op9_pieces": op9_pieces,
     "op10_collision_search": op10_collision_search,
+    "op13_lexical_rank": op13_lexical_rank,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op13_lexical_rank": LEXICAL_SQL}
