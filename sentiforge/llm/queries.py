@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sentiforge.llm.byte_bpe import op12_byte_bpe
 from sentiforge.llm.chat_windows import op7_chat_windows
 from sentiforge.llm.collision_search import op10_collision_search
 from sentiforge.llm.disclosure import op2_disclosure
@@ -13,6 +14,7 @@ from sentiforge.llm.passages import op4_passages
 from sentiforge.llm.pieces import op9_pieces
 from sentiforge.llm.quality_classifier import op1_quality_classifier
 from sentiforge.llm.quality_rules import op6_quality_rules
+from sentiforge.llm.token_alignment import op11_token_alignment
 from sentiforge.llm.token_codes import op8_token_codes
 
 QUERIES = {
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_token_codes": op8_token_codes,
     "op9_pieces": op9_pieces,
     "op10_collision_search": op10_collision_search,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_byte_bpe": op12_byte_bpe,
     "op13_lexical_rank": op13_lexical_rank,
 }
 
