@@ -40,8 +40,8 @@ from sentiforge.llm.encode import _load, _odd_texts
 from sentiforge.llm.shared import shared_path
 from sentiforge.llm.words import IS_SPACE, slices, span_hashes, text_bytes
 
-MEMO_UNITS = 600_000
-CHUNK_BYTES = 6 << 20
+MEMO_UNITS = 350_000
+CHUNK_BYTES = 3 << 20
 _JOIN = 512
 _BLANK = "▁"
 
