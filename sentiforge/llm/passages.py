@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentiforge.llm.shared import written
+from sentiforge.llm.token_codes import binary_column
 from sentiforge.llm.words import Words, doc_windows, find_words, slices
 
 K = 8            # words of a seed
@@ -34,7 +35,8 @@ GAP_COST = 0.1   # per skipped word, in either text
 MARGIN = 20      # words beyond a chain that are aligned: a longer common run has a seed of its own
 JOIN_GAP = 3     # spans this close are one passage; a longer stretch of a document's own words parts them
 CHAINS_PER_COPY = 2000   # a text that more chains refer to is sent to several tasks
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20  # of a table that is broadcast; its size is measured first, a larger one is shuffled
+FREQUENT = 4096   # seeds that are joined by broadcast at most
 
 
 def seeds_of(w: Words, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,12 +79,20 @@ def seed_table(rows: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(run, "h long, key long, tag long, pos int"), "seeds")
 
 
-def seed_matches(seeds: DataFrame) -> DataFrame:
-    """Every occurrence of a shared seed, beside its first occurrence in a smaller document."""
-    first = (seeds.groupBy("h").agg(F.min(F.struct("key", "tag", "pos")).alias("f"), F.max(F.struct("key", "tag")).alias("z"))
-             .where((F.col("f.key") != F.col("z.key")) | (F.col("f.tag") != F.col("z.tag")))
-             .select("h", F.col("f.key").alias("rkey"), F.col("f.tag").alias("rtag"), F.col("f.pos").alias("rpos")))
-    return seeds.join(first, "h").where("key <> rkey").select("key", "tag", "pos", "rkey", "rtag", "rpos")
+def seed_matches(seeds: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """Every occurrence of a shared seed, beside its first occurrence in a smaller document.
+
+    A seed with ``1 / frequent`` of all occurrences or more (there are ``frequent`` of
+    these at most) meets its first occurrence by broadcast, so none fills a task."""
+    first = written(
+        seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "tag", "pos")).alias("f"), F.max(F.struct("key", "tag")).alias("z"))
+        .where((F.col("f.key") != F.col("z.key")) | (F.col("f.tag") != F.col("z.tag")))
+        .select("h", "n", F.col("f.key").alias("rkey"), F.col("f.tag").alias("rtag"), F.col("f.pos").alias("rpos")), "seeds-first")
+    many = F.col("n") >= max(2, -(-seeds.count() // frequent))
+    cols = ["key", "tag", "pos", "rkey", "rtag", "rpos"]
+    split = seeds.join(F.broadcast(first.where(many).drop("n")), "h", "left")
+    rare = split.where("rkey IS NULL").select("h", "key", "tag", "pos").join(first.where(~many), "h")
+    return split.select(*cols).union(rare.select(*cols)).where("key <> rkey")
 
 
 def best_chains(x: np.ndarray, y: np.ndarray, k: int = K) -> list[list[int]]:
@@ -153,10 +163,13 @@ def chain_table(matches: DataFrame) -> DataFrame:
             x, y = rows[:, 1], rows[:, 4]
             cut = np.flatnonzero(np.diff(rows[:, 2]) | np.diff(rows[:, 3])) + 1
             found = []
-            for part in np.split(np.arange(len(rows)), cut):
-                for c in best_chains(x[part], y[part]):
-                    found.append(part[c])
-            spans = [(int(x[c[0]]) - MARGIN, int(x[c[-1]]) + K + MARGIN) for c in found]
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(rows)]):
+                if b - a == 1:
+                    found.append([a])
+                else:
+                    found += [[a + i for i in c] for c in best_chains(x[a:b], y[a:b])]
+            at = x.tolist()
+            spans = [(at[c[0]] - MARGIN, at[c[-1]] + K + MARGIN) for c in found]
             return [c for c, n in zip(found, _reach(spans, JOIN_GAP)) if n >= MIN_WORDS]
 
         def close():
@@ -164,10 +177,12 @@ def chain_table(matches: DataFrame) -> DataFrame:
             got = chains(rows[:, 1:])
             if not got:
                 return None
-            col = lambda j: pa.array([int(rows[c[0], j]) for c in got], pa.int64())
-            return pa.record_batch([col(0), col(1), col(3), col(4),
-                                    pa.array([rows[c, 2].tolist() for c in got], pa.list_(pa.int64())),
-                                    pa.array([rows[c, 5].tolist() for c in got], pa.list_(pa.int64()))],
+            head = rows[[c[0] for c in got]]
+            ends = pa.array(np.cumsum([0, *map(len, got)]), pa.int32())
+            inside = rows[[i for c in got for i in c]]
+            return pa.record_batch([*(pa.array(head[:, j]) for j in (0, 1, 3, 4)),
+                                    pa.ListArray.from_arrays(ends, pa.array(inside[:, 2])),
+                                    pa.ListArray.from_arrays(ends, pa.array(inside[:, 5]))],
                                    names=["key", "tag", "rkey", "rtag", "xs", "ys"])
 
         for b in batches:
@@ -191,6 +206,12 @@ def chain_table(matches: DataFrame) -> DataFrame:
     return written(ordered.mapInArrow(run, "key long, tag long, rkey long, rtag long, xs array<long>, ys array<long>"), "chains")
 
 
+def csr(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places ``start[i] .. start[i] + size[i]`` end to end."""
+    ends = np.cumsum(size)
+    return np.arange(int(size.sum())) + np.repeat(start - (ends - size), size)
+
+
 def _global(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Places (in a, in b) of the most words in common, in order (longest common subsequence)."""
     table = [[0] * (len(b) + 1)]
@@ -218,38 +239,51 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return _global(a.tolist(), b.tolist())
 
 
-def _extend(a: list[int], b: list[int]) -> tuple[int, int, int]:
-    """(words of a, words of b, matches) of the best alignment from the start: +1 a match, -1 an edit."""
-    n = 0
-    for u, v in zip(a, b):
-        if u != v:
-            break
-        n += 1
-    best = (n, n, n, n)  # score, a, b, matches
-    a, b = a[n:], b[n:]
-    if not a or not b or not set(a) & set(b):
-        return n, n, n
-    row = [(n - j, n) for j in range(len(b) + 1)]
-    for i, u in enumerate(a, 1):
-        diag, row[0] = row[0], (n - i, n)
-        for j, v in enumerate(b, 1):
+_STEP = 64  # a score and a number of matches as one number: score * _STEP + matches
+
+
+def extend_many(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words of a, words of b) of the best alignment from the start of each row: +1 a match, -1 an edit.
+
+    Row i compares ``a[i, :la[i]]`` with ``b[i, :lb[i]]``; words alike from the start always count."""
+    width = a.shape[1]
+    here = np.arange(width)
+    alike = (a == b) & (here < np.minimum(la, lb)[:, None])
+    n = np.where(alike.all(axis=1), width, np.argmin(alike, axis=1))
+    best_a, best_b = n.copy(), n.copy()
+    left_a, left_b = here < (la - n)[:, None], here < (lb - n)[:, None]
+    ra = np.take_along_axis(a, np.minimum(n[:, None] + here, width - 1), axis=1)   # what is left, from its start
+    rb = np.take_along_axis(b, np.minimum(n[:, None] + here, width - 1), axis=1)
+    same = (ra[:, :, None] == rb[:, None, :]) & left_a[:, :, None] & left_b[:, None, :]
+    todo = np.flatnonzero(same.any(axis=(1, 2)))
+    if not len(todo):
+        return best_a, best_b
+    same, n, ka, kb = same[todo], n[todo].astype(np.int64), (la - n)[todo], (lb - n)[todo]
+    best, ga, gb = n.copy(), np.zeros(len(todo), np.int64), np.zeros(len(todo), np.int64)
+    row = [(n - j) * _STEP + n for j in range(width + 1)]
+    for i in range(1, int(ka.max()) + 1):
+        diag, row[0] = row[0], (n - i) * _STEP + n
+        for j in range(1, int(kb.max()) + 1):
             keep = row[j]
-            s = max((row[j][0] - 1, row[j][1]), (row[j - 1][0] - 1, row[j - 1][1]),
-                    (diag[0] + 1, diag[1] + 1) if u == v else (diag[0] - 1, diag[1]))
-            row[j], diag = s, keep
-            if s[0] > best[0]:
-                best = (s[0], n + i, n + j, s[1])
-    return best[1:]
+            row[j] = np.maximum(np.maximum(row[j], row[j - 1]) - _STEP, diag + np.where(same[:, i - 1, j - 1], _STEP + 1, -_STEP))
+            diag = keep
+            better = (row[j] // _STEP > best) & (i <= ka) & (j <= kb)
+            best[better], ga[better], gb[better] = row[j][better] // _STEP, i, j
+    best_a[todo] += ga
+    best_b[todo] += gb
+    return best_a, best_b
 
 
-def align(xs: list[int], ys: list[int], a: np.ndarray, a0: int, b: np.ndarray, b0: int, k: int = K):
+def align(xs: list[int], ys: list[int], a: np.ndarray, a0: int, b: np.ndarray, b0: int,
+          before: tuple[int, int], after: tuple[int, int], k: int = K):
     """``(start, end, ref start, ref end, matches)`` of each repeated piece of a chain, from the words around it.
 
-    ``a[0]`` is word ``a0`` of the document, ``b[0]`` word ``b0`` of the other."""
+    ``a[0]`` is word ``a0`` of the document, ``b[0]`` word ``b0`` of the other;
+    ``before`` and ``after`` are the words of each that ``extend_many`` adds at the ends."""
     x, y = xs[0], ys[0]
     runs = []  # (x, y, words alike from there)
     between = lambda x0, x1, y0, y1: [(x0 + i, y0 + j, 1) for i, j in _pairs(a[x0 - a0:x1 - a0], b[y0 - b0:y1 - b0])]
-    n, m, _ = _extend(a[:x - a0][::-1][:MARGIN].tolist(), b[:y - b0][::-1][:MARGIN].tolist())
+    n, m = before
     runs += between(x - n, x, y - m, y)
     for i, j in zip(xs, ys):  # (x, y): aligned so far
         if i > x and j > y:
@@ -258,10 +292,98 @@ def align(xs: list[int], ys: list[int], a: np.ndarray, a0: int, b: np.ndarray, b
         if step > 0:
             runs.append((i + k - step, j + k - step, step))
         x, y = max(x, i + k), max(y, j + k)
-    n, m, _ = _extend(a[x - a0:][:MARGIN].tolist(), b[y - b0:][:MARGIN].tolist())
+    n, m = after
     return _pieces(runs + between(x, x + n, y, y + m), k)
 
 
+class _Lists:
+    """A list or binary column as flat values: row i is ``flat[at[i]:at[i] + size[i]]``."""
+
+    def __init__(self, flat: np.ndarray, at: np.ndarray, size: np.ndarray):
+        self.flat, self.at, self.size = flat, at, size
+
+    @classmethod
+    def of(cls, column: pa.Array, rows: np.ndarray) -> _Lists:
+        if pa.types.is_binary(column.type):
+            column = column.cast(pa.large_binary())
+            off = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1] // 8
+            data = column.buffers()[2]
+            flat = np.frombuffer(data, np.uint64, len(data) // 8) if data is not None and len(data) else np.zeros(0, np.uint64)
+        else:
+            off, flat = np.asarray(column.offsets), np.asarray(column.values)
+        return cls(flat, off[rows].astype(np.int64), (off[rows + 1] - off[rows]).astype(np.int64))
+
+    @classmethod
+    def of_structs(cls, column: pa.Array) -> _Lists:
+        """A list of structs of whole numbers: ``flat`` has one array per field, from the first row on."""
+        off = np.asarray(column.offsets).astype(np.int64)
+        inner = column.values.slice(off[0], off[-1] - off[0])
+        return cls([np.asarray(x) for x in inner.flatten()], off[:-1] - off[0], np.diff(off))
+
+    def first(self):
+        return self.flat[self.at]
+
+    def last(self):
+        return self.flat[self.at + self.size - 1]
+
+    def row(self, i: int) -> np.ndarray:
+        return self.flat[self.at[i]:self.at[i] + self.size[i]]
+
+    def edge(self, start: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """(``MARGIN`` words of each row from place ``start`` on, or back from it; how many there are)."""
+        n = np.clip(self.size - start if step > 0 else start, 0, MARGIN)
+        j = np.arange(MARGIN)
+        place = self.at[:, None] + start[:, None] + (j if step > 0 else -1 - j)
+        ok = j < n[:, None]
+        return np.where(ok, self.flat[np.where(ok, place, 0)], 0) if len(self.flat) else np.zeros(place.shape, np.uint64), n
+
+
+def align_many(xs: _Lists, ys: _Lists, a: _Lists, a0: np.ndarray, b: _Lists, b0: np.ndarray, k: int = K):
+    """(chain, start, end, ref start, ref end, matches) of the pieces of all chains.
+
+    A chain without insertions is compared word by word in one go with the
+    others of its kind; only what has several runs, or an insertion, is cut on its own."""
+    x0, y0, x1, y1 = xs.first(), ys.first(), xs.last() + k, ys.last() + k
+    (la, na), (lb, nb) = a.edge(x0 - a0, -1), b.edge(y0 - b0, -1)
+    n, m = extend_many(la, na, lb, nb)
+    (ra, na), (rb, nb) = a.edge(x1 - a0, 1), b.edge(y1 - b0, 1)
+    n2, m2 = extend_many(ra, na, rb, nb)
+    slant = xs.flat[csr(xs.at, xs.size)] - ys.flat[csr(ys.at, ys.size)]
+    begin = np.cumsum(xs.size) - xs.size
+    even = (np.minimum.reduceat(slant, begin) == np.maximum.reduceat(slant, begin)) & (n == m) & (n2 == m2)
+    out = []
+    for i in np.flatnonzero(~even).tolist():
+        for piece in align(xs.row(i).tolist(), ys.row(i).tolist(), a.row(i), int(a0[i]), b.row(i), int(b0[i]),
+                           (int(n[i]), int(m[i])), (int(n2[i]), int(m2[i])), k):
+            out.append((i, *piece))
+    rows = np.flatnonzero(even)
+    size = (x1 + n2 - (x0 - n))[rows]
+    same = (a.flat[csr((a.at + x0 - n - a0)[rows], size)] == b.flat[csr((b.at + y0 - m - b0)[rows], size)])
+    # runs of words alike, none over the end of a chain
+    begin = np.cumsum(size) - size
+    edge = np.zeros(len(same) + 1, bool)
+    edge[begin] = edge[-1] = True
+    first = same.copy()
+    first[1:] &= ~same[:-1] | edge[1:-1]
+    last = same.copy()
+    last[:-1] &= ~same[1:] | edge[1:-1]
+    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+    of = np.searchsorted(begin, s, side="right") - 1
+    x = s - begin[of] + (x0 - n)[rows][of]
+    y = x - (x0 - y0)[rows][of]
+    length = e - s
+    alone = np.bincount(of, minlength=len(rows))[of] == 1
+    whole = np.flatnonzero(alone & (length >= k))
+    got = [np.stack((rows[of[whole]], x[whole], x[whole] + length[whole], y[whole], y[whole] + length[whole], length[whole]), axis=1)]
+    rest = np.flatnonzero(~alone)
+    runs = list(zip(x[rest].tolist(), y[rest].tolist(), length[rest].tolist()))
+    chain = rows[of[rest]]
+    cut = np.flatnonzero(np.diff(chain)) + 1
+    for p, q in zip([0, *cut.tolist()], [*cut.tolist(), len(rest)] if len(rest) else []):
+        out += [(int(chain[p]), *piece) for piece in _pieces(runs[p:q], k)]
+    return np.concatenate((*got, np.array(out, np.int64).reshape(-1, 6)))
+
+
 def _pieces(runs: list[tuple[int, int, int]], k: int) -> list[tuple[int, int, int, int, int]]:
     """Cuts a chain's runs where the document's unmatched words outnumber the matched ones by more than ``JOIN_GAP``.
 
@@ -281,7 +403,9 @@ def _pieces(runs: list[tuple[int, int, int]], k: int) -> list[tuple[int, int, in
     return [p for p in [*out, piece] if p is not None and p[1] - p[0] >= k]
 
 
-_SIDE = "kind int, key long, tag long, copy int, _text string, okey long, otag long, xs array<long>, ys array<long>, words binary, base long"
+def _small(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """``df``, to be broadcast if its rows take ``BROADCAST_BYTES`` together at most."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def _beside(texts: DataFrame, chains: DataFrame, work, schema: str) -> DataFrame:
@@ -289,8 +413,7 @@ def _beside(texts: DataFrame, chains: DataFrame, work, schema: str) -> DataFrame
 
     A text with many chains is copied to several tasks, its chains dealt among them."""
     copies = chains.groupBy("key", "tag").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHAINS_PER_COPY)).cast("int").alias("_n"))
-    if copies.count() <= BROADCAST_ROWS:
-        copies = F.broadcast(copies)
+    copies = _small(copies, F.lit(32))
     null = lambda t: F.lit(None).cast(t)
     held = (texts.join(copies, ["key", "tag"]).dropDuplicates(["key", "tag"])
             .select(F.lit(0).alias("kind"), "key", "tag", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"), "_text",
@@ -301,18 +424,23 @@ def _beside(texts: DataFrame, chains: DataFrame, work, schema: str) -> DataFrame
                      null("string").alias("_text"), "okey", "otag", "xs", "ys", "words", "base"))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        at, words = None, None
+        at, words = None, np.zeros(0, np.uint64)     # the text that the next batch may go on with
         for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            out = []
-            for kind, key, tag, _, text, okey, otag, xs, ys, other, base in zip(*cols):
-                if kind == 0:
-                    if at != (key, tag):
-                        at, words = (key, tag), find_words(pa.array([text]), lower=True).hash
-                elif at == (key, tag):
-                    out.extend(work(key, tag, words, okey, otag, xs, ys, other, base))
-            if out:
-                yield pa.RecordBatch.from_pylist(out)
+            kind, key, tag = (np.asarray(b.column(i)) for i in range(3))
+            heads = np.flatnonzero(kind == 0)
+            w = find_words(b.column(4).take(pa.array(heads)), lower=True)
+            flat = np.concatenate((words, w.hash))
+            first = np.concatenate(([0], w.first[:-1] + len(words)))
+            size = np.concatenate(([len(words)], np.diff(w.first)))
+            rows = np.flatnonzero(kind == 1)
+            of = np.searchsorted(heads, rows)         # 0: the text carried over
+            names = np.concatenate(([at or (0, 0)], np.stack((key[heads], tag[heads]), axis=1)))
+            ok = (names[of, 0] == key[rows]) & (names[of, 1] == tag[rows]) & ((of > 0) | (at is not None))
+            rows, of = rows[ok], of[ok]
+            if len(rows):
+                yield work(b, rows, _Lists(flat, first[of], size[of]))
+            if len(heads):
+                at, words = (int(key[heads[-1]]), int(tag[heads[-1]])), flat[first[-1]:].copy()
 
     return (held.union(asked).repartition("key", "tag", "copy").sortWithinPartitions("key", "tag", "copy", "kind")
             .mapInArrow(run, schema))
@@ -329,20 +457,30 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     rows = _rows(docs, key, text)
     chains = chain_table(seed_matches(seed_table(rows)))
 
-    def cut(key, tag, words, okey, otag, xs, ys, other, base):
-        lo = max(xs[0] - MARGIN, 0)
-        return [{"key": okey, "tag": otag, "okey": key, "otag": tag, "xs": xs, "ys": ys, "base": lo,
-                 "words": words[lo:xs[-1] + K + MARGIN].tobytes()}]
-
-    def match(rkey, rtag, words, key, tag, xs, ys, other, base):
-        lo = max(ys[0] - MARGIN, 0)
-        found = align(xs, ys, np.frombuffer(other, np.uint64), base, words[lo:ys[-1] + K + MARGIN], lo)
-        return [{"key": key, "tag": tag, "start": a, "end": z, "n_matches": n, "ref_key": rkey, "ref_start": ra, "ref_end": rz}
-                for a, z, ra, rz, n in found]
+    def around(at: _Lists, words: _Lists) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, number of words) of the stretch of each text that a chain's places may reach."""
+        lo = np.maximum(at.first() - MARGIN, 0)
+        return lo, np.maximum(np.minimum(at.last() + K + MARGIN, words.size) - lo, 0)
+
+    def cut(b: pa.RecordBatch, rows: np.ndarray, words: _Lists) -> pa.RecordBatch:
+        lo, size = around(_Lists.of(b.column("xs"), rows), words)
+        held = binary_column(words.flat[csr(words.at + lo, size)], np.concatenate(([0], np.cumsum(size))))
+        names = ["okey", "otag", "key", "tag", "xs", "ys"]
+        return pa.record_batch([*(b.column(c).take(pa.array(rows)) for c in names), pa.array(lo), held],
+                               names=["key", "tag", "okey", "otag", "xs", "ys", "base", "words"])
+
+    def match(b: pa.RecordBatch, rows: np.ndarray, words: _Lists) -> pa.RecordBatch:
+        xs, ys = _Lists.of(b.column("xs"), rows), _Lists.of(b.column("ys"), rows)
+        lo, size = around(ys, words)
+        found = align_many(xs, ys, _Lists.of(b.column("words"), rows), np.asarray(b.column("base").take(pa.array(rows))),
+                           _Lists(words.flat, words.at + lo, size), lo)
+        row = pa.array(rows[found[:, 0]])
+        return pa.record_batch([b.column("okey").take(row), b.column("otag").take(row), pa.array(found[:, 1]), pa.array(found[:, 2]),
+                                pa.array(found[:, 5]), b.column("key").take(row), pa.array(found[:, 3]), pa.array(found[:, 4])],
+                               names=["key", "tag", "start", "end", "n_matches", "ref_key", "ref_start", "ref_end"])
 
     need = chains.select("key", "tag").union(chains.select("rkey", "rtag")).distinct()
-    if need.count() <= BROADCAST_ROWS:
-        need = F.broadcast(need)
+    need = _small(need, F.lit(32))
     texts = rows.join(need, ["key", "tag"], "left_semi")
     empty = [F.lit(None).cast("binary").alias("words"), F.lit(None).cast("long").alias("base")]
     mine = chains.select("key", "tag", F.col("rkey").alias("okey"), F.col("rtag").alias("otag"), "xs", "ys", *empty)
@@ -358,20 +496,26 @@ def _merge(spans: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            out = []
-            for key, tag, found in zip(*(c.to_pylist() for c in b.columns)):
-                run_: list = []
-                for s in [*found, None]:
-                    if s is not None and run_ and s["start"] <= max(r["end"] for r in run_) + JOIN_GAP:
-                        run_.append(s)
-                        continue
-                    if run_ and max(r["end"] for r in run_) - run_[0]["start"] >= MIN_WORDS:
-                        long = max(run_, key=lambda r: (r["end"] - r["start"], -r["ref_key"]))
-                        out.append({**long, "key": key, "tag": tag, "start": run_[0]["start"], "end": max(r["end"] for r in run_)})
-                    run_ = [s]
-            if out:
-                yield pa.RecordBatch.from_pylist(out).select(
-                    ["key", "tag", "start", "end", "n_matches", "ref_key", "ref_start", "ref_end"])
+            lists = _Lists.of_structs(b.column(2))
+            start, end, n, rkey, rstart, rend = lists.flat
+            if not len(start):
+                continue
+            doc = np.repeat(np.arange(b.num_rows), lists.size)
+            # each document on a stretch of its own, so that one running end serves all
+            far = doc * (int(end.max()) + JOIN_GAP + 2)
+            top = np.maximum.accumulate(end + far)
+            begin = np.flatnonzero(np.concatenate(([True], (start + far)[1:] > top[:-1] + JOIN_GAP)))
+            stop = np.append(begin[1:], len(start))
+            last = (top - far)[stop - 1]
+            run_of = np.repeat(np.arange(len(begin)), stop - begin)
+            order = np.lexsort((np.arange(len(start)), rkey, start - end, run_of))
+            long = order[begin]                       # the longest span of each run, the smallest key of equals
+            keep = last - start[begin] >= MIN_WORDS
+            begin, last, long = begin[keep], last[keep], long[keep]
+            row = pa.array(doc[begin])
+            yield pa.record_batch([b.column(0).take(row), b.column(1).take(row), pa.array(start[begin]), pa.array(last),
+                                   *(pa.array(x[long]) for x in (n, rkey, rstart, rend))],
+                                  names=["key", "tag", "start", "end", "n_matches", "ref_key", "ref_start", "ref_end"])
 
     return grouped.mapInArrow(run, "key long, tag long, start long, end long, n_matches long, ref_key long, ref_start long, ref_end long")
 
@@ -389,8 +533,7 @@ def without_passages(docs: DataFrame, found: DataFrame, key: str = "doc_id", tex
     names = {c: f"_d{i}" for i, c in enumerate(docs.columns)}
     spans = (found.groupBy("key", "tag").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_s"))
              .select(F.col("key").alias("_pk"), F.col("tag").alias("_pt"), "_s"))
-    if spans.count() <= BROADCAST_ROWS:
-        spans = F.broadcast(spans)
+    spans = _small(spans, 48 + 32 * F.size("_s"))
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     k, t = names[key], names[text]
     rows = rows.join(spans, (F.col(k) == F.col("_pk")) & (F.xxhash64(F.coalesce(F.col(t), F.lit(""))) == F.col("_pt")), "left").drop("_pk", "_pt")

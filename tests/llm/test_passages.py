@@ -137,3 +137,110 @@ def test_own_words_between_passages_stay(spark):
         w = text[i].split()
         assert got[i].split() == w[:30] + own[i] + w[-30:]
     assert all(got[i] == t for i, t in form.items())
+
+
+def plain_extend(a, b):
+    """(words of a, words of b) of the best alignment from the start, by the whole table."""
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    rest_a, rest_b = a[n:], b[n:]
+    table = {(i, j): (n - max(i, j), n) for i in range(len(rest_a) + 1) for j in range(len(rest_b) + 1) if not i or not j}
+    best, at = n, (n, n)
+    for i, u in enumerate(rest_a, 1):
+        for j, v in enumerate(rest_b, 1):
+            up, left, diag = table[i - 1, j], table[i, j - 1], table[i - 1, j - 1]
+            table[i, j] = max((up[0] - 1, up[1]), (left[0] - 1, left[1]),
+                              (diag[0] + 1, diag[1] + 1) if u == v else (diag[0] - 1, diag[1]))
+            if table[i, j][0] > best:
+                best, at = table[i, j][0], (n + i, n + j)
+    return at
+
+
+def test_ends_are_extended_to_the_best_alignment():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 6, (300, ps.MARGIN)).astype(np.uint64), rng.integers(0, 6, (300, ps.MARGIN)).astype(np.uint64)
+    b[::2, 3:] = a[::2, 2:-1]
+    b[1::3, :9] = a[1::3, :9]
+    la, lb = rng.integers(0, ps.MARGIN + 1, 300), rng.integers(0, ps.MARGIN + 1, 300)
+    n, m = ps.extend_many(a, la, b, lb)
+    for i in range(300):
+        assert (n[i], m[i]) == plain_extend(a[i, :la[i]].tolist(), b[i, :lb[i]].tolist())
+
+
+def test_chains_together_and_one_by_one():
+    """``align_many`` gives for each chain what ``align`` gives for it alone."""
+    rng = random.Random(7)
+    texts, chains = [], []
+    for t in range(60):
+        a = words(rng, rng.randrange(10, 160))
+        b = words(rng, rng.randrange(40)) + edited(rng, a, rng.choice([0, 0, 9, 14, 30])) + words(rng, rng.randrange(40))
+        ha, hb = (find_words(pa.array([" ".join(x)])).hash for x in (a, b))
+        at = {tuple(b[i:i + ps.K]): i for i in range(len(b) - ps.K + 1)}
+        seeds = [(i, at[tuple(a[i:i + ps.K])]) for i in range(0, len(a) - ps.K + 1, 5) if tuple(a[i:i + ps.K]) in at]
+        if seeds:
+            texts.append((ha, hb))
+            chains.append(seeds)
+    lists = lambda rows, kind: ps._Lists(np.concatenate(rows).astype(kind), np.cumsum([0, *map(len, rows)])[:-1], np.array([*map(len, rows)]))
+    xs, ys = lists([[x for x, _ in c] for c in chains], np.int64), lists([[y for _, y in c] for c in chains], np.int64)
+    zero = np.zeros(len(chains), np.int64)
+    got = ps.align_many(xs, ys, lists([a for a, _ in texts], np.uint64), zero, lists([b for _, b in texts], np.uint64), zero)
+    want = []
+    for i, (c, (a, b)) in enumerate(zip(chains, texts)):
+        (x0, y0), (x1, y1) = c[0], (c[-1][0] + ps.K, c[-1][1] + ps.K)
+        ends = (plain_extend(a[:x0][::-1][:ps.MARGIN].tolist(), b[:y0][::-1][:ps.MARGIN].tolist()),
+                plain_extend(a[x1:][:ps.MARGIN].tolist(), b[y1:][:ps.MARGIN].tolist()))
+        want += [(i, *p) for p in ps.align([x for x, _ in c], [y for _, y in c], a, 0, b, 0, *ends)]
+    assert sorted(map(tuple, got.tolist())) == sorted(want) and len(want) > 40
+
+
+def test_every_long_common_run_is_reported(spark):
+    """Against a plain search for all common runs of MIN_WORDS words or more, over random texts of shared parts."""
+    rng = random.Random(11)
+    parts = [words(rng, rng.choice([15, 30, 46, 50, 70, 130])) for _ in range(12)]
+    rows = []
+    for key in range(40):
+        text = []
+        for _ in range(rng.randrange(1, 5)):
+            text += words(rng, rng.randrange(25)) + (rng.choice(parts) if rng.random() < .7 else [])
+        rows.append((key, " ".join(text)))
+    rows.append((77, " ".join(words(rng, 60_000) + parts[5] + parts[8] + words(rng, 60_000))))  # a very long text
+    split = [(k, t.split()) for k, t in rows]
+    first, want = {}, {}
+    for k, ws in sorted(split):                      # words that lie in a run which a smaller key has
+        hit = set()
+        for i in range(len(ws) - ps.MIN_WORDS + 1):
+            gram = tuple(ws[i:i + ps.MIN_WORDS])
+            if first.setdefault(gram, k) < k:
+                hit.update(range(i, i + ps.MIN_WORDS))
+        want[k] = hit
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {k: set() for k, _ in rows}
+    for r in ps.passages(docs).collect():
+        got[r["key"]] |= set(range(r["start"], r["end"]))
+    assert sum(map(bool, want.values())) > 15
+    for k, ws in split:
+        assert want[k] <= got[k]
+        # nothing else but shared parts (of any length) and the few words between parts that touch
+        shared = {w for p in parts for w in p}
+        own = [i in got[k] and w not in shared for i, w in enumerate(ws)]
+        assert not any(all(own[i:i + ps.JOIN_GAP + 1]) for i in range(len(ws) - ps.JOIN_GAP))
+
+
+def test_a_frequent_seed_changes_nothing(spark):
+    rows, _ = planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seeds = ps.seed_table(ps._rows(docs, "doc_id", "text"))
+    every = {f: sorted(map(tuple, ps.seed_matches(seeds, f).collect())) for f in (1, 50, 10**6)}
+    assert every[1] == every[50] == every[10**6] and every[1]
+
+
+def test_nothing_broadcast_changes_nothing(spark, monkeypatch):
+    rows, _ = planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    both = []
+    for limit in (ps.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(ps, "BROADCAST_BYTES", limit)
+        found = ps.written(ps.passages(docs), "test")
+        both.append((sorted(map(tuple, found.collect())), sorted(map(str, ps.without_passages(docs, found).collect()))))
+    assert both[0] == both[1]
