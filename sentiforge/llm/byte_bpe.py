@@ -26,13 +26,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentiforge.llm.encode import MEMO_UNITS, Encoder
+from sentiforge.llm.encode import Encoder
 from sentiforge.llm.token_codes import binary_column
 from sentiforge.llm.words import slices
 
 _SHIFT = 0x100                 # byte b is the character U+0100 + b
 _PART = 4096                   # pre-tokens of one call of the library
-_MEMO_TOKENS = 500_000
+_MEMO_TOKENS = 100_000
+_DECODED = 1 << 18             # ids that are decoded at a time
+_MEMO_UNITS = 700_000
 _NORMAL, _UNKNOWN, _BPE = 1, 2, 2
 
 
@@ -90,7 +92,7 @@ class ByteBpe(Encoder):
     ``Encoder``), and each distinct unit is split and encoded once; the memos start
     afresh when they are full, which changes the speed only."""
 
-    def __init__(self, path: str, pattern: str, memo_units: int = MEMO_UNITS):
+    def __init__(self, path: str, pattern: str, memo_units: int = _MEMO_UNITS):
         import sentencepiece
 
         self.tokens = read_ranks(path)
@@ -131,11 +133,14 @@ class ByteBpe(Encoder):
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(ids) and int(ids.max()) >= len(self.tokens):
             raise ValueError(f"id {int(ids.max())} is not in the vocabulary")
-        ids = ids.astype(np.int64)
-        size = self.raw_at[ids + 1] - self.raw_at[ids]
-        ends = np.cumsum(size)
-        at = np.arange(int(size.sum())) + np.repeat(self.raw_at[ids] - (ends - size), size)
-        return self.raw[at], np.concatenate(([0], ends))[offsets]
+        ends = np.concatenate(([0], np.cumsum((self.raw_at[1:] - self.raw_at[:-1])[ids])))
+        out = np.empty(int(ends[-1]), np.uint8)
+        for k in range(0, len(ids), _DECODED):
+            part = ids[k:k + _DECODED].astype(np.int64)
+            size = self.raw_at[part + 1] - self.raw_at[part]
+            at = ends[k:k + len(part)] - ends[k]
+            out[ends[k]:ends[k + len(part)]] = self.raw[np.arange(int(size.sum())) + np.repeat(self.raw_at[part] - at, size)]
+        return out, ends[offsets]
 
 
 @lru_cache(maxsize=2)
@@ -163,16 +168,19 @@ def decode_ids(coded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     An id beyond the vocabulary raises; bytes need not be whole characters."""
     def run(batches: Iterator[pa.RecordBatch]):
         coder = byte_bpe(ranks, pattern)
-        for b in batches:
-            col = b.column(2).cast(pa.large_binary()).fill_null(b"")
-            if not len(col):
-                continue
-            bufs = col.buffers()
-            off = np.frombuffer(bufs[1], np.int64)[col.offset:col.offset + len(col) + 1]
-            data = np.frombuffer(bufs[2], np.uint8)[off[0]:off[-1]] if bufs[2] is not None else np.zeros(0, np.uint8)
-            raw, ends = coder.decode(data.view("<u4") if len(data) else np.zeros(0, np.uint32), (off - off[0]) // 4)
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), binary_column(raw, ends)],
-                                  names=["key", "n_tokens", "ids", "decoded"])
+        for whole in batches:
+            col = whole.column(2).cast(pa.large_binary()).fill_null(b"")
+            off = np.frombuffer(col.buffers()[1], np.int64)[col.offset:col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+            data = np.frombuffer(col.buffers()[2], np.uint8) if off[-1] else np.zeros(0, np.uint8)
+            i = 0
+            while i < whole.num_rows:
+                j = max(i + 1, int(np.searchsorted(off, off[i] + 8 * _DECODED, side="right")) - 1)
+                ids = np.frombuffer(data[off[i]:off[j]].tobytes(), "<u4")
+                raw, ends = coder.decode(ids, (off[i:j + 1] - off[i]) // 4)
+                b = whole.slice(i, j - i)
+                yield pa.record_batch([b.column(0), b.column(1), b.column(2), binary_column(raw, ends)],
+                                      names=["key", "n_tokens", "ids", "decoded"])
+                i = j
 
     return coded.select("key", "n_tokens", "ids").mapInArrow(run, "key long, n_tokens long, ids binary, decoded binary")
 
