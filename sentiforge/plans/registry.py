@@ -28,5 +28,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module so that the registry is filled."""
     from sentiforge.plans import (  # noqa: F401
-        q_clean, q_stats, q_labels, q_lang, q_sampling, q_tfidf, q_noise, q_lmprep, q_models, q_stream, q_bpe,
+        q_clean, q_stats, q_labels, q_lang, q_sampling, q_tfidf, q_noise, q_lmprep, q_models, q_stream, q_bpe, q_sources, q_scoring,
     )

@@ -15,34 +15,45 @@ from pyspark.sql.types import StructType
 
 from sentiforge.functions.text import SPACE
 from sentiforge.operators.ordering import row_index
+from sentiforge.sources.records import SPLIT_BYTES, read_records
 
 RECORD_SCHEMA = "uid long, sentiment string, text string, clean_text string"
 
 
-def annotated_records(spark: SparkSession, path: str, labelled: bool = True) -> DataFrame:
+def annotated_records(spark: SparkSession, path, labelled: bool = True, parity: bool = False,
+                      split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Blank-line separated records: header ``meta<TAB>uid[<TAB>sentiment]`` then one
     ``token<TAB>tag`` line per token; only the token column is kept.
 
-    Output ``(uid, sentiment, tokens, text, _corrupt)``; a header that does not
-    have the expected number of fields gives null fields and ``_corrupt`` set,
-    not a failure.  Tokens are joined with one blank (no trailing blanks)."""
-    raw = spark.read.option("lineSep", "\n\n").text(path)
-    # a file with CR or CRLF line ends holds no "\n\n" and arrives whole: cut it here
-    unix = F.regexp_replace("value", "\r\n?", "\n")
-    raw = raw.select(F.explode(F.split(unix, "\n{2,}")).alias("value"))
+    ``path`` is a file, a folder, a glob or a list of them; line ends may be LF, CRLF or
+    CR, and a file is read in ranges of ``split_bytes``.  Output ``(uid, sentiment,
+    tokens, text, _corrupt)``; a header that does not have the expected number of
+    fields gives null fields and ``_corrupt`` set, not a failure.  Tokens are joined
+    with one blank.  ``parity``: as the reference reads them, ``text`` has two trailing
+    blanks and a last record without a blank line behind it is left out."""
+    raw = read_records(spark, path, split_bytes)
+    if parity:
+        raw = raw.where("closed")
+    raw = raw.withColumn("value", F.regexp_replace("value", "\r\n?", "\n"))
     lines = F.filter(F.split(F.col("value"), "\n"), lambda x: x != F.lit(""))
     head = F.split(F.get(lines, 0), "\t")
     n_fields = 3 if labelled else 2
     ok = F.size(head) == n_fields
     toks = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))),
                        lambda ln: F.split(ln, "\t").getItem(0))
-    out = raw.where(F.size(lines) > 0).select(
+    text = F.array_join(toks, " ")
+    return raw.where(F.size(lines) > 0).select(
         F.when(ok, F.get(head, 1).try_cast("long")).alias("uid"),
         (F.when(ok, F.get(head, 2)) if labelled else F.lit(None).cast("string")).alias("sentiment"),
         toks.alias("tokens"),
-        F.array_join(toks, " ").alias("text"),
+        (F.concat(text, F.lit("  ")) if parity else text).alias("text"),
         F.when(~ok, F.col("value")).alias("_corrupt"))
-    return out
+
+
+def input_files(spark: SparkSession, paths) -> DataFrame:
+    """``(file, size, modified)`` of the files that a path, glob or list of them names (contents are not read)."""
+    found = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
+    return found.select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
 def json_records(spark: SparkSession, path: str, schema: str | StructType = RECORD_SCHEMA,

@@ -39,6 +39,18 @@ def write_lines(df: DataFrame, text_col: str, path: str, mode: str = "overwrite"
     df.select(F.col(text_col).alias("value")).where(F.length("value") > 0).write.mode(mode).text(path)
 
 
+def write_records(df: DataFrame, path: str, line_break: str = "\n", mode: str = "overwrite") -> None:
+    """Blank-line separated records of ``(uid, sentiment, tokens)``: the form ``annotated_records`` reads.
+
+    Without a ``sentiment`` column the header has two fields.  Tokens must hold neither tabs nor line ends."""
+    head = [F.lit("meta"), F.col("uid").cast("string")]
+    if "sentiment" in df.columns:
+        head.append(F.coalesce("sentiment", F.lit("")))
+    lines = F.concat(F.array(F.concat_ws("\t", *head)), F.transform("tokens", lambda t: F.concat(t, F.lit("\tO"))))
+    rec = F.concat(F.array_join(lines, line_break), F.lit(line_break))
+    df.select(rec.alias("value")).write.mode(mode).option("lineSep", line_break).text(path)
+
+
 def write_error_report(errors: DataFrame, path: str, classes: Sequence[str], mode: str = "overwrite") -> None:
     """Four-line records from ``(uid, pred, text)``."""
     names = F.array(*[F.lit(c) for c in classes])
