@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from sentiforge.scratch import written
+
 
 def _running_offsets(totals: DataFrame, parts: Sequence[str], bcol: str, wcol: str,
                      fanout: int = 4096, depth: int = 2) -> DataFrame:
@@ -90,11 +92,11 @@ def _small(spark, rows, key_schema: StructType, extra: list[str]) -> DataFrame:
 
 
 def first_n_per_group(df: DataFrame, group_cols: Sequence[str], n_col: str, key: Column, uid: str,
-                      key_bits: int = 49, uid_bits: int = 63, digit_bits: int = 12,
-                      exact_rows: int = 1 << 18) -> DataFrame:
-    """Rows among the first ``n_col`` of their group in (key asc, uid asc) order.
+                      rest: Column | None = None, key_bits: int = 49, rest_bits: int = 63, uid_bits: int = 63,
+                      digit_bits: int = 12, exact_rows: int = 1 << 18) -> DataFrame:
+    """Rows among the first ``n_col`` of their group in (key asc, rest asc, uid asc) order.
 
-    ``key`` and ``uid`` must be non-negative longs below 2^key_bits / 2^uid_bits;
+    ``key``, ``rest`` and ``uid`` must be non-negative longs below 2^key_bits / 2^rest_bits / 2^uid_bits;
     ``n_col`` is constant within a group.  Exact, and no task holds a whole
     group: a radix select.  Each pass counts the undecided rows per (group,
     digit) with map-side partial counts; a window over that small histogram
@@ -103,13 +105,17 @@ def first_n_per_group(df: DataFrame, group_cols: Sequence[str], n_col: str, key:
     boundary digit goes on to the next pass.  Once every boundary bucket
     holds at most ``exact_rows`` rows, a ``row_number`` window over those
     buckets finishes the cut.  Only cut points (one row per group) reach the
-    driver; the input is persisted once so passes do not recompute it.
+    driver; the input is written once (scratch table) so passes do not recompute it.
     """
     g = list(group_cols)
     spark = df.sparkSession
-    base = df.withColumn("_k", key.cast("long")).withColumn("_u", F.col(uid).cast("long")).persist()
+    low = F.lit(0) if rest is None else rest
+    base = written(df.withColumns({"_k": key.cast("long"), "_r": low.cast("long"), "_u": F.col(uid).cast("long")}), "select")
     kschema = base.select(*g).schema
     digits = _digits(F.col("_k"), key_bits, digit_bits) + _digits(F.col("_u"), uid_bits, digit_bits)
+    if rest is not None:
+        digits = (_digits(F.col("_k"), key_bits, digit_bits) + _digits(F.col("_r"), rest_bits, digit_bits)
+                  + _digits(F.col("_u"), uid_bits, digit_bits))
     need = (base.groupBy(*g).agg(F.max(n_col).cast("long").alias("_need"), F.count(F.lit(1)).alias("_have"))
             .where(F.col("_need") > 0).collect())
     taken: list[DataFrame] = []
@@ -148,10 +154,10 @@ def first_n_per_group(df: DataFrame, group_cols: Sequence[str], n_col: str, key:
         state = new_state
     if state:
         st = _small(spark, [(*k, v[0]) for k, v in state.items()], kschema, ["_need"])
-        w = Window.partitionBy(*g).orderBy("_k", "_u")
+        w = Window.partitionBy(*g).orderBy("_k", "_r", "_u")
         taken.append(cand.join(F.broadcast(st), g).withColumn("_rn", F.row_number().over(w))
                      .where(F.col("_rn") <= F.col("_need")).drop("_rn", "_need"))
-    out = df.limit(0)
+    out = base.limit(0).select(*df.columns)
     for t in taken:
         out = out.unionByName(t.select(*df.columns))
     return out

@@ -227,3 +227,94 @@ SELECT count(*) FILTER (WHERE noisy_label <> label) AS n_flipped, count(*) AS n
 def flipped_count(spark, sf):
     n = inject_label_noise(spark, sf)
     return n.agg(F.count_if(F.col("noisy_label") != F.col("label")).alias("n_flipped"), F.count(F.lit(1)).alias("n"))
+
+
+# -- latent estimates made consistent, and joints from given matrices ----------
+def _converged_sql():
+    nm = {(s, y): f"nm{s}_{y}" for s in range(K) for y in range(K)}
+
+    def div(a, b):
+        return f"(CASE WHEN ({b}) > 0 THEN ({a}) / ({b}) ELSE 0.0::DOUBLE END)"
+
+    def inv(s, y, t=""):
+        return div(f"{t}nm{s}_{y} * {t}py{y}", " + ".join(f"{t}nm{s}_{z} * {t}py{z}" for z in range(K)))
+
+    start = ", ".join(
+        [f"n{s} / n AS ps{s}" for s in range(K)]
+        + [f"{div(f'c{s}_{y}', ' + '.join(f'c{t}_{y}' for t in range(K)))} AS nm{s}_{y}" for s, y in nm]
+        + [f"{' + '.join(div(f'c{s}_{y}', ' + '.join(f'c{s}_{z}' for z in range(K))) + f' * (n{s} / n)' for s in range(K))} AS py{y}"
+           for y in range(K)])
+    keep = ", ".join([f"ps{s}" for s in range(K)] + list(nm.values()))
+    new = ", ".join(f"{' + '.join(f'{inv(s, y, "it.")} * it.ps{s}' for s in range(K))} AS py{y}" for y in range(K))
+    moved = ", ".join(f"abs(new.py{y} - it.py{y})" for y in range(K))
+    last = ", ".join(f"{inv(s, y)} AS inv{s}_{y}" for s, y in nm)
+    pri = ", ".join(f"{' + '.join(f'inv{s}_{y} * ps{s}' for s in range(K))} AS py{y}" for y in range(K))
+    return with_sql("scores", JOINT_SQL + f""",
+start AS (SELECT {start} FROM wide),
+it AS (SELECT 0 AS i, 1.0::DOUBLE AS delta, {keep}, {', '.join(f'py{y}' for y in range(K))} FROM start
+       UNION ALL
+       SELECT it.i + 1, greatest({moved}), {', '.join('it.' + c for c in keep.split(', '))}, {', '.join(f'new.py{y}' for y in range(K))}
+       FROM it, LATERAL (SELECT {new}) new WHERE it.delta >= 1e-12 AND it.i < 1000),
+final AS (SELECT * FROM it ORDER BY i DESC LIMIT 1),
+fin AS (SELECT * EXCLUDE ({', '.join(f'py{y}' for y in range(K))}), {last} FROM final),
+res AS (SELECT *, {pri} FROM fin)
+""" + "\nUNION ALL ".join(
+        f"SELECT {s} AS given_label, {y} AS true_label, round({div(f'inv{s}_{y} * ps{s}', f'py{y}')}, 6) AS noise_rate, "
+        f"round(inv{s}_{y}, 6) AS inv_noise_rate, round(py{y}, 6) AS py_true FROM res" for s, y in nm)
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("latent_converged", _converged_sql())
+def latent_converged(spark, sf):
+    """Prior, noise matrix and inverse matrix of the raw joint, iterated until they agree."""
+    return N.latent_from_counts(scores(spark, sf), K, converge=True).select(
+        "given_label", "true_label", _r6("noise_rate"), _r6("inv_noise_rate"), _r6("py_true"))
+
+
+#: the inverse matrix that goes with the given noise matrix where all classes are equally likely
+_INV = [[_M[s][y] / sum(_M[s]) for y in range(K)] for s in range(K)]
+
+
+def _given_sql():
+    import numpy as np
+    solve = np.linalg.inv(np.asarray(_M))
+    lit = lambda x: f"{float(x)!r}::DOUBLE"
+    raw = ", ".join(f"greatest({' + '.join(f'{lit(solve[y][s])} * (n{s} / n)' for s in range(K))}, 0.0) AS r{y}" for y in range(K))
+    part = {s: " + ".join(f"{lit(_M[s][y])} * r{y}" for y in range(K)) for s in range(K)}
+    by_noise = ", ".join(f"CASE WHEN ({part[s]}) > 0 THEN ({lit(_M[s][y])} * r{y}) / ({part[s]}) ELSE 0.0 END * n{s} AS cal{s}_{y}"
+                         for s in range(K) for y in range(K))
+    by_inverse = ", ".join(f"{lit(_INV[s][y])} * n{s} AS cal{s}_{y}" for s in range(K) for y in range(K))
+    cals = ", ".join(f"cal{s}_{y}" for s in range(K) for y in range(K))
+    cells = "\n  UNION ALL ".join(
+        f"SELECT form, {i} AS label, {j} AS j, CAST(floor({FRAC_NOISE} * cal{i}_{j} + 0.5) AS BIGINT) AS n_cut FROM forms"
+        for i in range(K) for j in range(K) if i != j)
+    return with_sql("scores", JOINT_SQL + f""",
+given AS (SELECT *, {raw} FROM cnt),
+forms AS (SELECT 'estimated' AS form, {cals} FROM wide
+  UNION ALL SELECT 'noise' AS form, {by_noise} FROM given
+  UNION ALL SELECT 'noise and inverse' AS form, {by_inverse} FROM given),
+cells AS ({cells}),
+pairs AS (SELECT uid, label, j, p[j + 1] - p[label + 1] AS margin
+          FROM scores, (SELECT CAST(unnest(range({K})) AS INTEGER) AS j) WHERE j <> label),
+picked AS (SELECT DISTINCT form, uid FROM (
+    SELECT form, uid, n_cut, row_number() OVER (PARTITION BY form, label, j ORDER BY margin DESC, uid) AS rn
+    FROM pairs JOIN cells USING (label, j)) WHERE rn <= n_cut),
+errs AS (SELECT form, uid FROM picked JOIN scores USING (uid) WHERE {_PRED} <> label)
+SELECT form, uid, label FROM scores, (SELECT form FROM forms) f
+WHERE NOT EXISTS (SELECT 1 FROM errs e WHERE e.form = f.form AND e.uid = scores.uid)""")
+
+
+@register("kept_by_joint", _given_sql())
+def kept_by_joint(spark, sf):
+    """The rows that learning with noisy labels keeps, with the joint estimated, from a given noise
+    matrix, and from a given noise matrix and its inverse."""
+    from sentiforge.scratch import written
+    s = written(scores(spark, sf), "scores")
+    joints = {"estimated": None, "noise": N.joint_from_matrices(s, K, _M),
+              "noise and inverse": N.joint_from_matrices(s, K, _M, _INV)}
+    out = None
+    for form, joint in joints.items():
+        errors = N.label_errors(s, K, "prune_by_noise_rate", FRAC_NOISE, joint).select("uid")
+        kept = s.join(errors, "uid", "left_anti").select(F.lit(form).alias("form"), "uid", "label")
+        out = kept if out is None else out.unionByName(kept)
+    return out
