@@ -191,6 +191,21 @@ def dense_index(df: DataFrame, bucket_exprs: Sequence[Column], order: Sequence[C
             .drop(*bcols, "_off"))
 
 
+def range_index(df: DataFrame, order: Sequence[Column], name: str = "ix") -> DataFrame:
+    """Add ``name`` = 0-based position in ``order``, which must be a total order of the rows.
+
+    The rows are dealt to ranges of the order that Spark samples (equally full, however
+    skewed their beginnings are), sorted and numbered inside, and written; one count per
+    range (as many as shuffle partitions) gives the offsets."""
+    cut = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    held = written(cut, "index").withColumn("_p", F.shiftright("_id", 33))
+    ranges = held.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)   # over one row per range
+    ranges = ranges.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = F.col("_id") - F.shiftleft(F.col("_p"), 33)
+    return held.join(F.broadcast(ranges), "_p").withColumn(name, F.col("_off") + local).drop("_p", "_id", "_off")
+
+
 def prefix_sum(df: DataFrame, order_key: str, tiebreak: Sequence[str], weight: str,
                bucket_width: int = 64, name: str = "offset", fanout: int = 4096) -> DataFrame:
     """Add ``name`` = sum of ``weight`` over all rows before this one in

@@ -11,6 +11,7 @@ from sentiforge.operators.ordering import top_k
 from sentiforge.plans import sqltext as S
 from sentiforge.plans.registry import register
 from sentiforge.plans.standins import labelled, tweets, with_sql
+from sentiforge.scratch import written
 from sentiforge.sources.tables import table
 
 
@@ -62,6 +63,13 @@ def _v2_docs(spark, sf):
     return base.select("uid", "label", "split", T.with_bigrams(F.col("_t")).alias("tokens"))
 
 
+def _every_doc(spark, sf):
+    """All documents, labelled or not, with the tokens of ``_v2_docs``."""
+    d = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("uid"), T.word_tokens(T.strip_accents(T.clean_glue(F.coalesce("text", F.lit(""))))).alias("_t"))
+    return d.select("uid", T.with_bigrams(F.col("_t")).alias("tokens"))
+
+
 def _rounded(w):
     return w.select("uid", "term", F.round("weight", 6).alias("weight"))
 
@@ -127,10 +135,9 @@ def tfidf_transform_holdout(spark, sf):
 
 
 def _train_features(spark, sf):
-    docs = _v2_docs(spark, sf)
-    train = docs.where(F.col("split") == "train")
+    train = written(_v2_docs(spark, sf).where(F.col("split") == "train"), "tokens")  # read by four branches
     model = TF.TfidfModel.fit(train, "uid", "tokens", sublinear=True, min_df=MIN_DF, max_df=MAX_DF)
-    return train, model, model.transform(train, "uid", "tokens")
+    return train, model, written(model.transform(train, "uid", "tokens", keep=["label"]), "weights")
 
 
 _NB_SQL = _V2_SQL + _v2_fit_sql("split = 'train'") + ",\n" + _W_SQL.format(src="fit") + f""",
