@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from sentiforge.llm import collision_search as cs
 from sentiforge.llm.collision_search import inner_products, nearest, op10_collision_search
 
 
@@ -59,3 +60,40 @@ def test_odd_vectors(spark):
     got = answers(nearest(df, F.col("key") % 20 == 0))
     assert got == {0: [(1, 20, 0.0), (2, 8, -1.0)], 20: [(1, 8, 0.5), (2, 0, 0.0)]}
     assert nearest(df.limit(0), F.col("key") % 20 == 0).count() == 0
+
+
+def recalled(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got, want = answers(nearest(df, F.col("key") % 20 == 0)), brute(rows)
+    assert set(got) == set(want)
+    hits = sum(len({f[1] for f in got[q]} & {w[0] for w in want[q]}) for q in want)
+    assert all([f[0] for f in v] == list(range(1, 21)) for v in got.values())
+    return hits / (20 * len(want))
+
+
+def test_recall_over_blocks_and_lengths(spark, monkeypatch):
+    """Several blocks; equal lengths, log-normal lengths, tight clusters of unequal lengths."""
+    monkeypatch.setattr(cs, "BLOCK", 1500)
+    monkeypatch.setattr(cs, "PART", 100)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tables = {"equal": x, "log-normal": x * rng.lognormal(0, .5, (6000, 1)), "wide": x * rng.lognormal(0, 1.2, (6000, 1)),
+              "clusters": (x[rng.integers(0, 30, 6000)] + .15 * x) * rng.lognormal(0, .3, (6000, 1))}
+    for name, t in tables.items():
+        r = recalled(spark, [(i, v.tolist()) for i, v in enumerate(t)])
+        print(name, r)
+        assert r >= 0.95, (name, r)
+
+
+def test_doubles_keep_their_precision(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 5)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = dict(rows)
+    for r in nearest(df, F.col("key") % 20 == 0).collect():
+        a, b = x[r["query_id"]], x[r["vec_id"]]
+        total = 0.0
+        for p, q in zip(a, b):
+            total += p * q
+        assert r["score"] == total
