@@ -406,23 +406,31 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_texts(docs).withColumnRenamed("key", "doc_id")
 
 
+def _plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns ``_d0, _d1, ...``, which no column made here is called, and their own names."""
+    names = {c: f"_d{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of every group of near duplicates (five words, 0.8) the document with the smallest id stays.
 
     Rows of one id are one document and leave one row (the smallest hash of its
-    text); documents without words or without an id stay."""
-    found = written(similar_texts(docs, shingle=5, percent=80, tie=False), "groups")
+    text); documents without words or without an id stay.  Columns keep their names and values."""
+    rows, names = _plain_names(docs)
+    key, text = names["doc_id"], names["text"]
+    found = written(similar_texts(rows, key, text, shingle=5, percent=80, tie=False), "groups")
     gone = found.where("key <> component_id").select(F.col("key").alias("_gone")).distinct()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    left = rows.join(gone, F.col(key) == F.col("_gone"), "left_anti")
     twice = found.where("key IS NOT NULL").groupBy("key").count().where("count > 1").select(F.col("key").alias("_twice"))
-    if not twice.limit(1).count():
-        return left
-    once = left.join(twice, left["doc_id"] == F.col("_twice"), "left_anti")
-    again = left.join(twice, left["doc_id"] == F.col("_twice"), "left_semi")
-    pick = again.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return once.unionByName(pick.where("_row = 1").drop("_row"))
+    if twice.limit(1).count():
+        once = left.join(twice, F.col(key) == F.col("_twice"), "left_anti")
+        again = left.join(twice, F.col(key) == F.col("_twice"), "left_semi")
+        pick = again.withColumn("_row", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text))))
+        left = once.unionByName(pick.where("_row = 1").drop("_row"))
+    return left.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def stage_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -430,14 +438,16 @@ def stage_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Each row is judged by its own text: unlike texts of one id all stay, and no
     group goes through an id.  Of rows alike in id and text one stays; rows
-    without an id stay, and so do texts without words."""
+    without an id stay, and so do texts without words.  Columns keep their names and values."""
     several = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if not several.limit(1).count():
         return stage(spark, docs, sf_dir)
+    plain, names = _plain_names(docs)
+    key, text = names["doc_id"], names["text"]
     # written once, so that the numbers hold for every later reader
-    rows = written(docs.withColumn("_node", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
-    found = written(similar_texts(rows, key="_node", shingle=5, percent=80, tie=False), "groups").where("key IS NOT NULL")
-    place = rows.where("_node IS NOT NULL").select("_node", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tag"))
+    rows = written(plain.withColumn("_node", F.when(F.col(key).isNotNull(), F.monotonically_increasing_id())), "rows")
+    found = written(similar_texts(rows, "_node", text, shingle=5, percent=80, tie=False), "groups").where("key IS NOT NULL")
+    place = rows.where("_node IS NOT NULL").select("_node", F.col(key).alias("_id"), F.xxhash64(text).alias("_tag"))
     placed = found.join(place, F.col("key") == F.col("_node"))
     blank = F.col("n_shingles") == 0
     stays = (placed.groupBy(F.when(~blank, F.col("component_id")), F.when(blank, F.col("_id")), F.when(blank, F.col("_tag")))
@@ -445,4 +455,5 @@ def stage_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = written(found.select("key").join(stays, "key", "left_anti").select(F.col("key").alias("_gone")), "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return rows.join(gone, rows["_node"] == F.col("_gone"), "left_anti").drop("_node")
+    left = rows.join(gone, F.col("_node") == F.col("_gone"), "left_anti")
+    return left.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -101,3 +101,24 @@ def test_empty_and_whole_run(spark, tmp_path):
         assert stage(spark, docs.limit(0), SF_SMALL).count() == 0
     assert corpus_pipeline.run(spark, SF_SMALL).count() > 0
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+@pytest.mark.parametrize("twice", [False, True])
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[:-1])
+def test_clashing_columns_null_ids_and_long_texts(spark, tmp_path, name, stage, twice):
+    """Whatever the other columns are called, they stay with their row; odd rows break nothing."""
+    rng = random.Random(5)
+    extra = ["_t", "_k", "_terms", "_node", "_gone", "_id", "_tag", "_row", "key", "tag", "_s", "_key", "_text", "kept", "n", "_d0"]
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    rows = [(i, text(60)) for i in range(25)] + [(None, text(50)), (None, None), (30, None), (31, ""), (32, text(60_000))]
+    rows += [(33, rows[0][1])] + ([(5, text(40)), (5, rows[5][1])] if twice else [])
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or ""), *[f"{c}|{k}|{(t or '')[:9]}" for c in extra]) for k, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, "
+                                 + ", ".join(f"{c} string" for c in extra))
+    spark.createDataFrame([(i, 1, 0) for i in range(25)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    got = out.collect()
+    given = {(r["doc_id"], *[r[c] for c in extra]) for r in docs.collect()}
+    assert got and all((r["doc_id"], *[r[c] for c in extra]) in given for r in got)
+    assert len(got) >= 25
