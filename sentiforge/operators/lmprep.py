@@ -2,12 +2,12 @@
 
 * vocabulary: token counts (partial aggregation) ranked count desc, token
   asc into dense ids after the special tokens;
-* encode: explode tokens with their position, join the vocabulary on the
-  token (AQE broadcasts it when it is small, splits hot tokens otherwise),
-  unknown -> <unk>, and re-assemble each line in position order (a group is
-  one line, bounded by the line's own length);
-* pack: running token offsets in corpus order, cut into blocks of a fixed
-  size (each block group holds exactly that many tokens), short tail dropped;
+* encode: a task turns its lines, some thousands at a time, into a list of
+  distinct tokens and each line's places in it; only (chunk, distinct token)
+  rows are joined with the vocabulary, unknown -> <unk>, and the chunk's lines
+  are filled in (a frequent token is one row per chunk);
+* pack: running token offsets in corpus order; a line gives each block it
+  touches one slice of its ids, a block joins its slices; short tail dropped;
 * MLM masking: per-position md5 draws of (seed, key, position), so the
   result is the same after a retry or a repartition;
 * bigram LM: add-one smoothed bigram probabilities from the train lines,
@@ -16,14 +16,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentiforge.functions.hashing import md5_key
-from sentiforge.operators.ordering import dense_index, prefix_sum
+from sentiforge.operators.ordering import prefix_sum, range_index, row_index
+from sentiforge.scratch import written
 
 # Special tokens and their ids.
 SPECIALS = ["<pad>", "<unk>", "<cls>", "<sep>", "<mask>"]
@@ -35,7 +35,7 @@ def build_vocab(tokens: DataFrame, token_col: str = "token", min_count: int = 2)
     """``(token, id, n)``: specials first (n = 0), then tokens seen at least ``min_count`` times."""
     counts = tokens.groupBy(F.col(token_col).alias("token")).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.where(F.col("n") >= min_count)
-    ranked = dense_index(counts, [-F.col("n"), F.substring("token", 1, 2)], [F.col("token")], "_ix")
+    ranked = range_index(counts, [F.desc("n"), F.asc("token")], "_ix")
     words = ranked.select("token", (F.col("_ix") + len(SPECIALS)).cast("int").alias("id"), "n")
     spark = tokens.sparkSession
     specials = spark.createDataFrame([(t, i, 0) for i, t in enumerate(SPECIALS)], "token string, id int, n long")
@@ -45,12 +45,45 @@ def build_vocab(tokens: DataFrame, token_col: str = "token", min_count: int = 2)
 def encode(lines: DataFrame, key_cols: Sequence[str], tokens_col: str, vocab: DataFrame) -> DataFrame:
     """``(*keys, ids array<int>)`` with unknown tokens mapped to <unk>; a line
     without tokens keeps its row with an empty array."""
-    ex = lines.select(*key_cols, F.posexplode_outer(tokens_col).alias("pos", "token"))
-    j = ex.join(vocab.select("token", "id"), "token", "left")
-    g = j.groupBy(*key_cols).agg(
-        F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))).alias("_s"))
-    seen = F.filter("_s", lambda s: s["pos"].isNotNull())
-    return g.select(*key_cols, F.transform(seen, lambda s: s["id"]).alias("ids"))
+    def chunked(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+        part, k = TaskContext.get().partitionId(), 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column(1)
+            coded = lists.flatten().dictionary_encode()
+            one = pa.array([0, b.num_rows], pa.int32())
+            size = pa.compute.fill_null(pa.compute.list_value_length(lists), 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([(part << 32) + k]), pa.ListArray.from_arrays(one, b.column(0)), pa.ListArray.from_arrays(one, size.cast(pa.int32())),
+                 pa.ListArray.from_arrays(pa.array([0, len(coded)], pa.int32()), coded.indices.cast(pa.int32())),
+                 pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string()))],
+                names=["chunk", "keys", "size", "places", "words"])
+            k += 1
+
+    def filled(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        for b in batches:
+            for i in range(b.num_rows):
+                ids = b.column(3)[i]
+                ids = ids.values if ids.is_valid else pa.array([], pa.int32())
+                places = b.column(2)[i].values
+                got = pa.compute.fill_null(ids.take(places), UNK) if len(ids) else pa.array(np.full(len(places), UNK, np.int32))
+                off = np.concatenate(([0], np.cumsum(np.asarray(b.column(1)[i].values)))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0)[i].values, pa.ListArray.from_arrays(pa.array(off), got.cast(pa.int32()))],
+                                                 names=["key", "ids"])
+
+    src = lines.select(F.struct(*key_cols).alias("key"), F.col(tokens_col).alias("_t"))
+    key = src.schema["key"].dataType.simpleString()
+    chunks = written(src.mapInArrow(chunked, f"chunk long, keys array<{key}>, size array<int>, places array<int>, words array<string>"), "chunks")
+    found = (chunks.select("chunk", F.posexplode("words").alias("pos", "token")).join(vocab.select("token", "id"), "token", "left")
+             .groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))).alias("_s"))
+             .select("chunk", F.col("_s.id").alias("ids")))
+    rows = chunks.select("chunk", "keys", "size", "places").join(found, "chunk", "left").select("keys", "size", "places", "ids")
+    return rows.mapInArrow(filled, f"key {key}, ids array<int>").select(*[F.col(f"key.{c}").alias(c) for c in key_cols], "ids")
 
 
 def line_example(ids: Column, block_size: int) -> Column:
@@ -62,19 +95,43 @@ def pack_blocks(encoded: DataFrame, order_key: str, tiebreak: Sequence[str], blo
     """``(block, ids)``: all ids in (order_key, *tiebreak) order cut into blocks of
     ``block_size - 2`` tokens, each wrapped in <cls> ... <sep>; the short last block is dropped."""
     inner = block_size - 2
-    # read three times (total, range totals, tokens): encode once
-    sized = encoded.withColumn("_n", F.size("ids")).persist(StorageLevel.MEMORY_AND_DISK)
-    total = sized.agg(F.sum("_n")).scalar()
-    off = prefix_sum(sized, order_key, tiebreak, "_n", name="_start")
-    toks = (off.select("_start", F.posexplode("ids").alias("pos", "id"))
-            .select((F.col("_start") + F.col("pos")).alias("gpos"), "id"))
-    toks = toks.where(F.col("gpos") < F.floor(total / F.lit(inner)) * F.lit(inner))
-    blocks = toks.groupBy(F.floor(F.col("gpos") / F.lit(inner)).alias("block")).agg(
-        F.sort_array(F.collect_list(F.struct("gpos", "id"))).alias("_s"))
-    return blocks.select("block", F.concat(F.array(F.lit(CLS)), F.transform("_s", lambda s: s["id"]),
+    # read three times (total, range totals, slices): encode once
+    sized = written(encoded.withColumn("_n", F.size("ids")), "encoded")
+    blocks = int(sized.agg(F.sum("_n")).first()[0] or 0) // inner
+    off = prefix_sum(sized, order_key, tiebreak, "_n", name="_start").where("_n > 0")
+    touched = F.sequence(F.floor(F.col("_start") / inner), F.floor((F.col("_start") + F.col("_n") - 1) / inner))
+    parts = off.select("_start", "_n", "ids", F.explode(touched).alias("block")).where(F.col("block") < blocks)
+    low = F.greatest(F.col("block") * inner - F.col("_start"), F.lit(0))
+    high = F.least(F.col("_n").cast("long"), (F.col("block") + 1) * inner - F.col("_start"))
+    parts = parts.select("block", (F.col("_start") + low).alias("at"),
+                         F.slice("ids", (low + 1).cast("int"), (high - low).cast("int")).alias("part"))
+    joined = parts.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("_s"))
+    return joined.select("block", F.concat(F.array(F.lit(CLS)), F.flatten(F.transform("_s", lambda x: x["part"])),
                                            F.array(F.lit(SEP))).alias("ids"))
 
 
+def examples(encoded: DataFrame, key_cols: Sequence[str], block_size: int, mode: str = "pack") -> DataFrame:
+    """Language-model examples ``(example, ids)``: ``mode`` ``"pack"`` cuts all ids in key order into full
+    blocks, ``"line"`` makes one example of each line; ``example`` is the block's number or the line's keys."""
+    if mode == "pack":
+        return pack_blocks(encoded, key_cols[0], list(key_cols[1:]), block_size).select(
+            F.col("block").cast("string").alias("example"), "ids")
+    if mode == "line":
+        return encoded.select(F.concat_ws(":", *[F.col(c).cast("string") for c in key_cols]).alias("example"),
+                              line_example(F.col("ids"), block_size).alias("ids"))
+    raise ValueError(f"mode must be pack or line, not {mode!r}")
+
+
+def collate(encoded: DataFrame, key_cols: Sequence[str], ids_col: str, batch_size: int, pad: int = PAD) -> DataFrame:
+    """``(*keys, batch, ids)``: sequential batches in key order, every row padded on the right to the
+    longest of its batch."""
+    ix = row_index(encoded, key_cols[0], tiebreak=list(key_cols[1:]), bucket_width=64, name="_ix")
+    ix = ix.withColumn("batch", F.floor(F.col("_ix") / batch_size).cast("long"))
+    longest = F.max(F.size(ids_col)).over(Window.partitionBy("batch"))       # batch_size rows
+    return ix.withColumn("_l", longest).select(
+        *key_cols, "batch", F.concat(F.col(ids_col), F.array_repeat(F.lit(pad), F.col("_l") - F.size(ids_col))).alias(ids_col))
+
+
 def mlm_mask(examples: DataFrame, key_cols: Sequence[str], ids_col: str, seed: int, vocab_size: int,
              prob: float = 0.15) -> DataFrame:
     """Add ``input_ids`` and ``labels``.  Each non-special position is picked when
@@ -110,10 +167,10 @@ def bigrams(tokens: Column) -> Column:
     return F.zip_with(F.slice(t, 1, n), F.slice(t, 2, n), lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
 
 
-def bigram_perplexity(train: DataFrame, evaluate: DataFrame, tokens_col: str, key: str) -> DataFrame:
-    """``(key, n_tokens, nll, perplexity)`` of each evaluated group under the add-one
-    smoothed bigram model ``P(w2 | w1) = (c(w1 w2) + 1) / (c(w1) + V)`` fitted on
-    ``train``; V = number of distinct predicted tokens in train (words and </s>)."""
+def bigram_perplexity(train: DataFrame, evaluate: DataFrame, tokens_col: str, key: str, add: float = 1.0) -> DataFrame:
+    """``(key, n_tokens, nll, perplexity)`` of each evaluated group under the add-k
+    smoothed bigram model ``P(w2 | w1) = (c(w1 w2) + k) / (c(w1) + k V)`` fitted on
+    ``train`` (``add`` is k); V = number of distinct predicted tokens in train (words and </s>)."""
     tb = train.select(F.inline(bigrams(F.col(tokens_col))))
     pair = tb.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c12"))
     # contexts and vocabulary follow from the pairs: the text is tokenised once
@@ -122,7 +179,13 @@ def bigram_perplexity(train: DataFrame, evaluate: DataFrame, tokens_col: str, ke
     eb = (evaluate.select(key, F.inline(bigrams(F.col(tokens_col))))
           .groupBy(key, "w1", "w2").agg(F.count(F.lit(1)).alias("cnt")))
     j = eb.join(pair, ["w1", "w2"], "left").join(ctx, "w1", "left")
-    logp = F.ln((F.coalesce("c12", F.lit(0)) + F.lit(1.0)) / (F.coalesce("c1", F.lit(0)) + v))
+    logp = F.ln((F.coalesce("c12", F.lit(0)) + F.lit(add)) / (F.coalesce("c1", F.lit(0)) + F.lit(add) * v))
     agg = j.groupBy(key).agg(F.sum("cnt").alias("n_tokens"), F.sum(F.col("cnt") * logp).alias("_lp"))
     nll = -F.col("_lp") / F.col("n_tokens")
     return agg.select(key, "n_tokens", nll.alias("nll"), F.exp(nll).alias("perplexity"))
+
+
+def corpus_perplexity(per_group: DataFrame) -> DataFrame:
+    """``(n_tokens, nll, perplexity)`` of all groups together, weighted by their tokens."""
+    nll = F.sum(F.col("nll") * F.col("n_tokens")) / F.sum("n_tokens")
+    return per_group.agg(F.sum("n_tokens").alias("n_tokens"), nll.alias("nll"), F.exp(nll).alias("perplexity"))

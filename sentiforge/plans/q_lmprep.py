@@ -16,7 +16,9 @@ from sentiforge.operators import lmprep as LM
 from sentiforge.operators.ordering import row_index
 from sentiforge.plans import sqltext as S
 from sentiforge.plans.q_sampling import LM_LINES_SQL, LM_SEED, lm_lines
+from sentiforge.functions.hashing import uniform
 from sentiforge.plans.registry import register
+from sentiforge.scratch import written
 
 MAX_LEN = 300      # padded length of classifier inputs
 BLOCK = 128        # LM block size (two of them are <cls>/<sep>)
@@ -36,8 +38,8 @@ def _vocab(spark, sf):
     return LM.build_vocab(toks, min_count=MIN_COUNT)
 
 
-def _encoded(spark, sf):
-    return LM.encode(_lines(spark, sf), KEYS, "tokens", _vocab(spark, sf))
+def _encoded(spark, sf, vocab=None):
+    return LM.encode(_lines(spark, sf), KEYS, "tokens", _vocab(spark, sf) if vocab is None else vocab)
 
 
 _SPECIALS_SQL = ", ".join(f"({S.lit(t)}, {i}, 0)" for i, t in enumerate(LM.SPECIALS))
@@ -120,6 +122,34 @@ def collate_batches(spark, sf):
     return ix.select(*KEYS, "batch", F.max("n").over(Window.partitionBy("batch")).cast("int").alias("padded_len"))
 
 
+@register("padded_batches", BASE_SQL + f""",
+ord AS (SELECT doc_id, line_no, {_EXAMPLE_SQL} AS e, (row_number() OVER (ORDER BY doc_id, line_no) - 1) // {BATCH} AS batch FROM enc),
+mx AS (SELECT *, max(len(e)) OVER (PARTITION BY batch) AS l FROM ord)
+SELECT doc_id, line_no, CAST(batch AS BIGINT) AS batch,
+       array_to_string(e || list_transform(range(l - len(e)), lambda x: {LM.PAD}), ' ') AS ids FROM mx""")
+def padded_batches(spark, sf):
+    """The padded rows themselves: sequential batches of 32 examples, each row as long as its batch's longest."""
+    e = _encoded(spark, sf).select(*KEYS, LM.line_example(F.col("ids"), BLOCK).alias("e"))
+    return LM.collate(e, KEYS, "e", BATCH).select(*KEYS, "batch", join_ints(F.col("e")).alias("ids"))
+
+
+@register("examples_by_mode", BASE_SQL + f""",
+off AS (SELECT doc_id, line_no, ids, coalesce(sum(len(ids)) OVER (ORDER BY doc_id, line_no
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM enc),
+toks AS (SELECT off + unnest(range(len(ids))) AS gpos, unnest(ids) AS id FROM off),
+total AS (SELECT sum(len(ids)) AS t FROM enc)
+SELECT 'pack' AS mode, CAST(CAST(gpos // {BLOCK - 2} AS BIGINT) AS VARCHAR) AS example,
+       array_to_string([{LM.CLS}] || list(id ORDER BY gpos) || [{LM.SEP}], ' ') AS ids
+FROM toks WHERE gpos < (SELECT t FROM total) // {BLOCK - 2} * {BLOCK - 2} GROUP BY gpos // {BLOCK - 2}
+UNION ALL SELECT 'line', doc_id || ':' || line_no, array_to_string({_EXAMPLE_SQL}, ' ') FROM enc""")
+def examples_by_mode(spark, sf):
+    """Packed blocks and line examples of the same corpus, chosen by the ``mode`` argument."""
+    e = written(_encoded(spark, sf), "encoded")
+    out = [LM.examples(e, KEYS, BLOCK, mode).select(F.lit(mode).alias("mode"), "example", join_ints(F.col("ids")).alias("ids"))
+           for mode in ("pack", "line")]
+    return out[0].unionByName(out[1])
+
+
 def _mlm_sql():
     def u(k):
         return f"(('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT / 4294967296.0::DOUBLE)"
@@ -143,9 +173,9 @@ FROM exs, vs"""
 @register("mlm_mask", _mlm_sql())
 def mlm_mask(spark, sf):
     """Masked-LM inputs and labels for every line example (15 % picked; 80/10/10)."""
-    vocab = _vocab(spark, sf)
+    vocab = written(_vocab(spark, sf), "vocab")
     vocab_size = vocab.count()  # one scalar: the random-id range
-    ex = _encoded(spark, sf).select(*KEYS, LM.line_example(F.col("ids"), BLOCK).alias("e"))
+    ex = _encoded(spark, sf, vocab).select(*KEYS, LM.line_example(F.col("ids"), BLOCK).alias("e"))
     m = LM.mlm_mask(ex, KEYS, "e", MLM_SEED, vocab_size)
     return m.select(*KEYS, join_ints(F.col("input_ids")).alias("input_ids"), join_ints(F.col("labels")).alias("labels"))
 
@@ -161,18 +191,31 @@ pair AS (SELECT w1, w2, count(*) AS c12 FROM tb GROUP BY w1, w2),
 ctx AS (SELECT w1, count(*) AS c1 FROM tb GROUP BY w1),
 v AS (SELECT count(DISTINCT w2) AS v FROM tb),
 eb AS (SELECT doc_id, b.w1 AS w1, b.w2 AS w2, count(*) AS cnt FROM bg WHERE split = 'valid' GROUP BY ALL)
-SELECT doc_id, n_tokens, round(nll, 6) AS nll, round(exp(nll), 2) AS perplexity FROM (
-  SELECT doc_id, CAST(sum(cnt) AS BIGINT) AS n_tokens,
-         -sum(cnt * ln((coalesce(c12, 0) + 1.0) / (coalesce(c1, 0) + (SELECT v FROM v)))) / sum(cnt) AS nll
-  FROM eb LEFT JOIN pair USING (w1, w2) LEFT JOIN ctx USING (w1) GROUP BY doc_id)"""
+"""
+_PER_DOC_SQL = """SELECT doc_id, CAST(sum(cnt) AS BIGINT) AS n_tokens,
+         -sum(cnt * ln((coalesce(c12, 0) + {k}) / (coalesce(c1, 0) + {k} * (SELECT v FROM v)))) / sum(cnt) AS nll
+  FROM eb LEFT JOIN pair USING (w1, w2) LEFT JOIN ctx USING (w1) GROUP BY doc_id"""
+ADD_K = 0.1
+
+
+def _split_lines(spark, sf):
+    lt = lm_lines(spark, sf).select("doc_id", T.split_ws(F.lower(F.col("line"))).alias("tokens"),
+                                    (uniform(LM_SEED, F.col("doc_id"), F.col("line_no")) < 0.1).alias("_valid"))
+    return lt.where(~F.col("_valid")), lt.where(F.col("_valid"))
+
+
+@register("corpus_perplexity", _BIGRAM_SQL + f"""SELECT CAST(sum(n_tokens) AS BIGINT) AS n_tokens,
+       round(sum(nll * n_tokens) / sum(n_tokens), 6) AS nll, round(exp(sum(nll * n_tokens) / sum(n_tokens)), 2) AS perplexity
+FROM ({_PER_DOC_SQL.format(k=f"{ADD_K}::DOUBLE")})""")
+def corpus_perplexity(spark, sf):
+    """Token-weighted perplexity of all held-out lines under an add-0.1 bigram model of the train lines."""
+    p = LM.corpus_perplexity(LM.bigram_perplexity(*_split_lines(spark, sf), "tokens", "doc_id", ADD_K))
+    return p.select("n_tokens", F.round("nll", 6).alias("nll"), F.round("perplexity", 2).alias("perplexity"))
 
 
-@register("bigram_perplexity", _BIGRAM_SQL)
+@register("bigram_perplexity", _BIGRAM_SQL + f"""SELECT doc_id, n_tokens, round(nll, 6) AS nll, round(exp(nll), 2) AS perplexity FROM (
+  {_PER_DOC_SQL.format(k='1.0')})""")
 def bigram_perplexity(spark, sf):
     """Add-one bigram model on the train lines; perplexity of each document's held-out lines."""
-    lines = lm_lines(spark, sf)
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(LM_SEED)), F.col("doc_id").cast("string"),
-                                                 F.col("line_no").cast("string"))), 1, 8), 16, 10).cast("long") / 4294967296.0
-    lt = lines.select("doc_id", T.split_ws(F.lower(F.col("line"))).alias("tokens"), (u < 0.1).alias("_valid"))
-    p = LM.bigram_perplexity(lt.where(~F.col("_valid")), lt.where(F.col("_valid")), "tokens", "doc_id")
+    p = LM.bigram_perplexity(*_split_lines(spark, sf), "tokens", "doc_id")
     return p.select("doc_id", "n_tokens", F.round("nll", 6).alias("nll"), F.round("perplexity", 2).alias("perplexity"))
