@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,16 @@ def map_values(col: Column, mapping: dict) -> Column:
     for k, v in mapping.items():
         expr = (F.when(col == F.lit(k), F.lit(v)) if expr is None else expr.when(col == F.lit(k), F.lit(v)))
     return expr
+
+
+def join_counted(preds: DataFrame, gold: DataFrame, key: str) -> tuple[DataFrame, Observation]:
+    """``preds`` joined with ``gold``, and the counts ``matched, missing_gold, missing_prediction`` of the join.
+
+    One full outer join gives both: its rows are counted as they pass (the observation is
+    filled by the first action on the result), then the unmatched ones are dropped."""
+    seen = Observation()
+    a, b = F.col("_a").isNotNull(), F.col("_b").isNotNull()
+    both = preds.withColumn("_a", F.lit(1)).join(gold.withColumn("_b", F.lit(1)), key, "full")
+    both = both.observe(seen, F.count_if(a & b).alias("matched"), F.count_if(a & ~b).alias("missing_gold"),
+                        F.count_if(~a & b).alias("missing_prediction"))
+    return both.where(a & b).drop("_a", "_b"), seen

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sentiforge.functions import arrays as A
+from sentiforge.functions.hashing import hex_int, md5_key
 from sentiforge.operators import labels as L
 from sentiforge.operators import metrics as M
 from sentiforge.operators.vote import majority_vote
+from sentiforge.plans import sqltext as S
 from sentiforge.plans.registry import register
 from sentiforge.plans.standins import CLASSES, corpus, labelled, loss_log, preds, scores, with_sql
+from sentiforge.sources.tables import table
 
 K = [0, 1, 2]
 
@@ -177,3 +180,24 @@ SELECT run, count(*) AS n_batches, round(exp(avg(loss)), 6) AS perplexity FROM l
 def perplexity(spark, sf):
     """exp(mean batch loss) per run (each logged loss is one evaluation batch)."""
     return _round_all(M.perplexity(loss_log(spark, sf)), ["perplexity"])
+
+
+_MATCH_SQL = with_sql("labelled", f""",
+p AS (SELECT doc_id AS uid, CAST({S.hex_int(S.md5_key("'guess'", 'doc_id'), 1, 4)} % 3 AS INTEGER) AS pred FROM documents),
+j AS (SELECT p.uid AS a, l.uid AS b, p.pred, l.label FROM p FULL JOIN labelled l ON p.uid = l.uid)
+SELECT count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS matched, count(*) FILTER (WHERE b IS NULL) AS missing_gold,
+       count(*) FILTER (WHERE a IS NULL) AS missing_prediction,
+       round(avg(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN pred = label THEN 1.0 ELSE 0.0 END END), 6) AS accuracy FROM j""")
+
+
+@register("prediction_match", _MATCH_SQL)
+def prediction_match(spark, sf):
+    """Predictions of all documents against the gold labels of some: matched and unmatched rows and the accuracy
+    of the matched ones, from one pass over the join."""
+    preds_ = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("uid"), F.pmod(hex_int(md5_key("guess", F.col("doc_id")), 1, 4), F.lit(3)).cast("int").alias("pred"))
+    joined, seen = L.join_counted(preds_, labelled(spark, sf).select("uid", "label"), "uid")
+    right = joined.agg(F.round(F.avg((F.col("pred") == F.col("label")).cast("double")), 6).alias("accuracy")).first()[0]
+    row = seen.get
+    return spark.createDataFrame([(row["matched"], row["missing_gold"], row["missing_prediction"], right)],
+                                 "matched long, missing_gold long, missing_prediction long, accuracy double")

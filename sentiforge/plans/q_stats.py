@@ -9,6 +9,7 @@ from sentiforge.operators import stats
 from sentiforge.plans import sqltext as S
 from sentiforge.plans.registry import register
 from sentiforge.plans.standins import corpus, labelled, with_sql
+from sentiforge.scratch import written
 from sentiforge.sources.tables import table
 
 
@@ -100,3 +101,74 @@ def corpus_union_missing_cols(spark, sf):
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("uid"), F.lit("benchmark").alias("source"), "text")
     u = a.unionByName(b, allowMissingColumns=True)
     return u.select("uid", "source", "sentiment", F.length("text").cast("long").alias("n_chars"))
+
+
+def _freq(spark, sf):
+    return stats.freq_table(long_tokens(spark, sf), "token")
+
+
+QUANTILES, BINS, SHOWN = [0.0, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0], 20, 10
+
+
+@register("freq_quantiles", f"""WITH {_TOKENS_SQL},
+o AS (SELECT n, row_number() OVER (ORDER BY n) AS r, count(*) OVER () AS t FROM freq),
+q AS (SELECT unnest({[float(q) for q in QUANTILES]})::DOUBLE AS q)
+SELECT q, n AS value FROM q JOIN o ON r = greatest(1, CAST(ceil(q * t - 1e-9) AS BIGINT))""")
+def freq_quantiles(spark, sf):
+    """Exact quantiles of the word frequencies."""
+    return stats.exact_quantiles(_freq(spark, sf), "n", QUANTILES)
+
+
+@register("length_histogram", f"""WITH m AS (SELECT max(length(text))::DOUBLE AS hi FROM documents),
+b AS (SELECT least(CAST(floor(length(text) / (hi / {BINS})) AS INTEGER), {BINS - 1}) AS bin, count(*) AS n FROM documents, m WHERE text IS NOT NULL GROUP BY 1)
+SELECT CAST(i AS INTEGER) AS bin, round(i * (hi / {BINS}), 6) AS lower, round((i + 1) * (hi / {BINS}), 6) AS upper, coalesce(n, 0) AS n
+FROM (SELECT unnest(range({BINS})) AS i), m LEFT JOIN b ON i = bin""")
+def length_histogram(spark, sf):
+    """Text lengths in 20 equal bins from 0 to the longest."""
+    d = table(spark, sf, "documents").select(F.length("text").cast("double").alias("n_chars"))
+    h = stats.histogram(d, "n_chars", 0.0, float(d.agg(F.max("n_chars")).first()[0] or 1.0), BINS)
+    return h.select("bin", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"), "n")
+
+
+@register("freq_extremes", f"""WITH {_TOKENS_SQL},
+a AS (SELECT 'most' AS side, CAST(row_number() OVER (ORDER BY n DESC, token) AS INTEGER) AS rank, token AS value, n FROM freq),
+z AS (SELECT 'least' AS side, CAST(row_number() OVER (ORDER BY n, token DESC) AS INTEGER) AS rank, token AS value, n FROM freq)
+SELECT * FROM a WHERE rank <= {SHOWN} UNION ALL SELECT * FROM z WHERE rank <= {SHOWN}""")
+def freq_extremes(spark, sf):
+    """The ten most and the ten least common words."""
+    return stats.extremes(_freq(spark, sf), "token", SHOWN)
+
+
+@register("distinct_sketch", """WITH w AS (SELECT lang, unnest(string_split(lower(text), ' ')) AS word FROM documents)
+SELECT lang, true AS within FROM w GROUP BY lang UNION ALL SELECT 'all', true""")
+def distinct_sketch(spark, sf):
+    """HLL sketches of the distinct words per language, merged to one over all: each estimate against the
+    exact count (within 3 %)."""
+    w = table(spark, sf, "documents").select("lang", F.explode(F.split(F.lower("text"), " ")).alias("word"))
+    sketches = written(stats.distinct_sketches(w, "word", ["lang"]), "sketches")
+    est = stats.merged_estimate(sketches, ["lang"]).unionByName(stats.merged_estimate(sketches).select(F.lit("all").alias("lang"), "estimate"))
+    exact = w.groupBy("lang").agg(F.count_distinct("word").alias("n")).unionByName(
+        w.agg(F.count_distinct("word").alias("n")).select(F.lit("all").alias("lang"), "n"))
+    near = F.abs(F.col("estimate") - F.col("n")) <= 0.03 * F.col("n") + 1
+    return est.join(exact, F.equal_null(est["lang"], exact["lang"])).select(est["lang"], near.alias("within"))
+
+
+@register("corpus_texts", """
+SELECT 'documents' AS source, doc_id AS id, CAST(0 AS BIGINT) AS sub, text FROM documents
+UNION ALL SELECT 'conversations', conv_id, turn, text FROM conversations
+UNION ALL SELECT 'benchmark', item_id, CAST(0 AS BIGINT), text FROM benchmark
+UNION ALL SELECT 'pages', page_id, CAST(0 AS BIGINT), html FROM pages""")
+def corpus_texts(spark, sf):
+    """Corpus assembly with the texts themselves: four sources, two of them cleaned by nobody."""
+    zero = F.lit(0).cast("long").alias("sub")
+    d = table(spark, sf, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), zero, "text")
+    c = table(spark, sf, "conversations").select(F.lit("conversations").alias("source"), F.col("conv_id").alias("id"), F.col("turn").alias("sub"), "text")
+    b = table(spark, sf, "benchmark").select(F.lit("benchmark").alias("source"), F.col("item_id").alias("id"), zero, "text")
+    p = table(spark, sf, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), zero, F.col("html").alias("text"))
+    return d.unionByName(c).unionByName(b).unionByName(p)
+
+
+@register("head_documents", """SELECT doc_id, lang, length(text) AS n_chars FROM documents ORDER BY doc_id LIMIT 5""")
+def head_documents(spark, sf):
+    """The first five documents by id."""
+    return stats.head(table(spark, sf, "documents"), [F.col("doc_id")]).select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"))
