@@ -32,3 +32,25 @@ def records_round_trip(spark, sf):
         out.append(got.select(F.lit(name).alias("line_break"), "uid", "sentiment",
                               F.size("tokens").cast("long").alias("n_tokens"), "text"))
     return reduce(lambda a, b: a.unionByName(b), out)
+
+
+@register("result_round_trip", """SELECT 'max_chars' AS metric, max(length(text))::DOUBLE AS value FROM documents
+UNION ALL SELECT 'mean_chars', round(avg(length(text)), 3) FROM documents UNION ALL SELECT 'n_rows', count(*)::DOUBLE FROM documents""")
+def result_round_trip(spark, sf):
+    """Metrics of the corpus written as a result file (``name = value``) and read back."""
+    d = table(spark, sf, "documents").agg(
+        F.count(F.lit(1)).cast("double").alias("n_rows"), F.round(F.avg(F.length("text")), 3).alias("mean_chars"),
+        F.max(F.length("text")).cast("double").alias("max_chars"))
+    path = scratch_path(spark, "result")
+    sinks.write_result(sinks.metrics_from(d, "corpus", 0).select("metric", "value"), path)
+    return sinks.read_result(spark, path)
+
+
+@register("feature_cache", f"""SELECT doc_id, len({S.split_ws('coalesce(text, chr(0))')}) - CASE WHEN text IS NULL THEN 1 ELSE 0 END AS n_tokens FROM documents""")
+def feature_cache(spark, sf):
+    """A feature table stored under a key of its inputs and settings; the second call reads what the first wrote."""
+    n = F.coalesce(F.size(T.split_ws(F.col("text"))), F.lit(0)).cast("long")
+    feats = table(spark, sf, "documents").select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n).alias("n_tokens"))
+    path = sinks.cache_path(scratch_path(spark, "cache"), [sf], {"tokens": "whitespace"})
+    sinks.cached(spark, feats, path)
+    return sinks.cached(spark, feats.limit(0), path)

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from sentiforge.plans.q_stats import _TOKENS_SQL
 from sentiforge.plans.registry import register
-from sentiforge.session import ensure_checkpoint_dir
+from sentiforge.scratch import scratch_path
 from sentiforge.sources.tables import table
 from sentiforge.streaming.word_count import current_counts, run_word_counts
 
@@ -15,7 +13,7 @@ from sentiforge.streaming.word_count import current_counts, run_word_counts
 def stream_word_count(spark, sf):
     """Documents are landed as JSON-lines files in the shared checkpoint folder and
     followed by a stateful stream; the final counts equal the batch word frequencies."""
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "stream")
     table(spark, sf, "documents").select("text").write.json(f"{root}/in")
     run_word_counts(spark, f"{root}/in", f"{root}/out", f"{root}/state")
     return current_counts(spark, f"{root}/out")

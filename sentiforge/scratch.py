@@ -33,5 +33,22 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def clear_run_folder(spark: SparkSession) -> bool:
     """Delete the run folder with all its tables; call it when no result that reads them is still to be computed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    system, path = hadoop_path(spark, run_folder(spark))
+    return system.delete(path, True)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of any path that Spark can write to."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """A folder that a Spark writer finished (its commit marker is there)."""
+    system, p = hadoop_path(spark, f"{path}/_SUCCESS")
+    return system.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, p = hadoop_path(spark, path)
+    system.delete(p, True)

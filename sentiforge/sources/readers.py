@@ -98,12 +98,16 @@ def tweet_dir(spark: SparkSession, path: str) -> DataFrame:
             .withColumn("source_file", F.input_file_name()))
 
 
-def csv_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def csv_table(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True,
+              infer: bool = True) -> DataFrame:
     """CSV with a header; blanks after separators ignored (``Uid, Sentiment``),
-    quoted fields may hold separators and line breaks."""
+    quoted fields may hold separators and, with ``multi_line``, line breaks.
+
+    ``multi_line=False`` lets Spark read a file in ranges; without a schema, ``infer=False`` saves
+    the extra pass and gives strings."""
     r = (spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True)
-         .option("multiLine", True).option("escape", '"'))
-    r = r.schema(schema) if schema else r.option("inferSchema", True)
+         .option("multiLine", multi_line).option("escape", '"'))
+    r = r.schema(schema) if schema else r.option("inferSchema", infer)
     return r.csv(path)
 
 
@@ -124,11 +128,15 @@ def piece_vocab(spark: SparkSession, path: str) -> DataFrame:
     return ix.select(F.col("id").cast("int").alias("id"), "piece", "score")
 
 
-def error_report(spark: SparkSession, path: str) -> DataFrame:
-    """The 4-line label-error report back into ``(index, predicted, sentence)``."""
-    raw = spark.read.option("lineSep", " -----\n").text(path)
+def error_report(spark: SparkSession, path: str, rank: bool = False) -> DataFrame:
+    """The 4-line label-error report back into ``(index, predicted, sentence)``; with ``rank`` also the
+    record's place in file order, from 1."""
+    raw = spark.read.option("lineSep", " -----\n").text(path).withColumn("_pos", F.monotonically_increasing_id())
+    raw = raw.where(F.trim("value") != "")
     pat = r"(?s)Estimated Error in (\d+)\npredicted (\S+)\n sentence (.*?)\n?\z"
-    return raw.where(F.trim("value") != "").select(
-        F.regexp_extract("value", pat, 1).cast("long").alias("index"),
-        F.regexp_extract("value", pat, 2).alias("predicted"),
-        F.regexp_extract("value", pat, 3).alias("sentence"))
+    cols = [F.regexp_extract("value", pat, 1).cast("long").alias("index"),
+            F.regexp_extract("value", pat, 2).alias("predicted"), F.regexp_extract("value", pat, 3).alias("sentence")]
+    if rank:
+        raw = row_index(raw, "_pos", bucket_width=1 << 33, name="_rank")  # one bucket per input split
+        cols.insert(0, (F.col("_rank") + 1).cast("int").alias("rank"))
+    return raw.select(*cols)

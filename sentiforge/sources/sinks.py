@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sentiforge.functions.arrays import argmax
 from sentiforge.operators.labels import decode_fixed
+from sentiforge.scratch import committed
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -74,8 +75,36 @@ def metrics_from(df: DataFrame, run: str, step: int) -> DataFrame:
     return df.select(F.lit(run).alias("run"), F.lit(step).cast("long").alias("step"), F.inline(packed))
 
 
+def write_result(metrics: DataFrame, path: str) -> None:
+    """Lines ``name = value`` in order of the names from ``(metric, value)``, one file.
+
+    Spark's commit marker stands beside the file; without it the result is not complete."""
+    line = F.concat(F.col("metric"), F.lit(" = "), F.col("value").cast("string"))
+    metrics.select("metric", line.alias("value")).coalesce(1).sortWithinPartitions("metric").select("value").write.mode("overwrite").text(path)
+
+
+def read_result(spark: SparkSession, path: str) -> DataFrame:
+    """``(metric, value)`` of a result file; raises where the write was not finished."""
+    if not committed(spark, path):
+        raise FileNotFoundError(f"no finished result at {path}")
+    parts = F.regexp_extract_all("value", F.lit(r"\A(.*) = (.*)\z"), F.lit(0))
+    raw = spark.read.text(path).where(F.size(parts) > 0)
+    return raw.select(F.regexp_extract("value", r"\A(.*) = (.*)\z", 1).alias("metric"),
+                      F.regexp_extract("value", r"\A(.*) = (.*)\z", 2).cast("double").alias("value"))
+
+
 def cached(spark: SparkSession, df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
-    """Feature cache: write ``df`` as Parquet unless it already exists (or ``overwrite``),
-    then read it back, which also cuts the lineage of the features."""
-    df.write.mode("overwrite" if overwrite else "ignore").parquet(path)
+    """Feature cache: write ``df`` as Parquet unless it is already there (or ``overwrite``),
+    then read it back, which also cuts the lineage of the features.  A folder without a
+    commit marker was left half-written: it is not used but written anew."""
+    if overwrite or not committed(spark, path):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def cache_path(root: str, inputs: Sequence[str], settings: dict) -> str:
+    """A folder below ``root`` that is the same for the same inputs and settings only."""
+    import hashlib
+    import json
+    key = json.dumps([sorted(inputs), settings], sort_keys=True, default=str)
+    return f"{root.rstrip('/')}/{hashlib.sha256(key.encode()).hexdigest()[:32]}"

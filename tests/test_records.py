@@ -3,6 +3,7 @@
 import io
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -76,3 +77,40 @@ def test_empty_and_missing(spark, tmp_path):
     assert readers.annotated_records(spark, str(tmp_path / "none.txt")).count() == 0
     with pytest.raises(Exception, match="gone.txt"):
         readers.annotated_records(spark, str(tmp_path / "gone.txt")).count()
+
+
+def test_other_sinks(spark, tmp_path):
+    """JSON lines, submission, result file and cache: what is written is read back, half-written folders are not."""
+    rows = [(3, "neg", "b"), (1, "pos", "a\nb"), (2, None, "")]
+    df = spark.createDataFrame(rows, "uid long, sentiment string, text string").repartition(3)
+    sinks.write_json(df, str(tmp_path / "json"))
+    assert sorted(map(tuple, readers.json_records(spark, str(tmp_path / "json"), df.schema, array=False).collect())) == sorted(rows)
+    sinks.write_json(df.select("text"), str(tmp_path / "strings"))
+    assert spark.read.json(str(tmp_path / "strings")).count() == 3
+    sinks.write_submission(df, str(tmp_path / "sub"))
+    lines = [x for f in sorted((tmp_path / "sub").glob("*.csv")) for x in f.read_text().splitlines()]
+    assert [x for x in lines if x != "uid,sentiment"] == ["1,pos", "2,", "3,neg"]
+    one = spark.createDataFrame([(0.5, 7, "x")], "loss double, n long, name string")
+    sinks.write_result(sinks.metrics_from(one, "r", 1).select("metric", "value"), str(tmp_path / "res"))
+    assert "".join(f.read_text() for f in (tmp_path / "res").glob("part*")) == "loss = 0.5\nn = 7.0\n"
+    assert {tuple(r) for r in sinks.read_result(spark, str(tmp_path / "res")).collect()} == {("loss", 0.5), ("n", 7.0)}
+    (tmp_path / "res" / "_SUCCESS").unlink()
+    with pytest.raises(FileNotFoundError):
+        sinks.read_result(spark, str(tmp_path / "res"))
+    path = sinks.cache_path(str(tmp_path), ["b", "a"], {"k": 1})
+    assert path == sinks.cache_path(str(tmp_path), ["a", "b"], {"k": 1}) != sinks.cache_path(str(tmp_path), ["a", "b"], {"k": 2})
+    assert sinks.cached(spark, df, path).count() == 3 and sinks.cached(spark, df.limit(0), path).count() == 3
+
+    broken = df.withColumn("uid", F.when(F.col("uid") == 3, F.raise_error(F.lit("disk lost")).cast("long")).otherwise(F.col("uid")))
+    other = sinks.cache_path(str(tmp_path), [], {})
+    with pytest.raises(Exception, match="disk lost"):
+        sinks.cached(spark, broken, other)
+    assert sinks.cached(spark, df, other).count() == 3        # what the broken write left is not taken for the cache
+    ranked = readers.error_report(spark, _report(spark, tmp_path), rank=True)
+    assert [(r["rank"], r["index"]) for r in ranked.orderBy("rank").collect()] == [(1, 9), (2, 5), (3, 7)]
+
+
+def _report(spark, tmp_path):
+    errs = spark.createDataFrame([(9, 0, "x"), (5, 2, "some text  "), (7, 1, "")], "uid long, pred int, text string").coalesce(1)
+    sinks.write_error_report(errs, str(tmp_path / "report"), ["negative", "neutral", "positive"])
+    return str(tmp_path / "report")
