@@ -212,7 +212,7 @@ def vocabulary(path: str) -> Vocabulary:
 class _Words(Encoder):
     """The memo of ``Encoder`` over words of normalised text, solved by ``Vocabulary.trace``."""
 
-    def __init__(self, path: str, memo_units: int = 400_000):
+    def __init__(self, path: str, memo_units: int = 250_000):
         self.vocab, self.memo_units, self.keeps_space = vocabulary(path), memo_units, False
         self._clear()
 
@@ -246,14 +246,17 @@ def _words(path: str) -> _Words:
     return _Words(path)
 
 
+SLICE = 2 << 20   # bytes of text encoded at a time
+
+
 def _encode_ordinary(docs: DataFrame, path: str, key: str, text: str, giant: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in slices(batches, "_text"):
-            norm = [normalise(t) for t in b.column(1).to_pylist()]
-            ids, off = _words(path).encode(pa.array(norm, pa.large_string()))
+        for b in slices(batches, "_text", SLICE):
+            norm = pa.array([normalise(t) for t in b.column(1).to_pylist()], pa.large_string())
+            ids, off = _words(path).encode(norm)
             zero = np.zeros(len(norm), np.int64)
             yield pa.record_batch([b.column(0), pa.nulls(len(norm), pa.string()), pa.array(zero), binary_column(ids.astype("<u4"), off),
-                                   pa.array(norm, pa.string())], names=["key", "text_id", "chunk", "ids", "cut"])
+                                   b.column(1).cast(pa.string())], names=["key", "text_id", "chunk", "ids", "cut"])
 
     t = F.coalesce(F.col(text), F.lit(""))
     src = docs.select(F.col(key).cast("long").alias("key"), t.alias("_text")).where(F.length("_text") < giant)
@@ -261,10 +264,12 @@ def _encode_ordinary(docs: DataFrame, path: str, key: str, text: str, giant: int
 
 
 def _chunks(docs: DataFrame, path: str, key: str, text: str, giant: int, size: int) -> DataFrame:
-    """Written ``(key, text_id, chunk, block, size, text, matrix)`` of the giant texts.
+    """Written ``(key, text_id, chunk, block, size, text, source, matrix)`` of the giant texts.
 
-    ``text`` carries the characters beyond the chunk that a piece may reach."""
-    def run(batches: Iterator[pa.RecordBatch]):
+    ``text`` carries the characters beyond the chunk that a piece may reach, ``source`` is the same
+    stretch of the text itself.  The chunks are written before their matrices are made, so those
+    of one text are spread over all tasks."""
+    def cut(batches: Iterator[pa.RecordBatch]):
         vocab, part, row = vocabulary(path), TaskContext.get().partitionId(), 0
         for b in slices(batches, "_text"):
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -272,18 +277,28 @@ def _chunks(docs: DataFrame, path: str, key: str, text: str, giant: int, size: i
                 row += 1
                 for c, at in enumerate(range(0, len(norm), size)):
                     n = min(size, len(norm) - at)
-                    piece = norm[at:at + n + vocab.longest - 1]
-                    m = vocab.transfer(piece, n)
-                    m[:, len(piece) - n + 1:] = _NEVER  # no piece reaches beyond the text
+                    end = at + n + vocab.longest - 1
                     yield pa.record_batch(
                         [pa.array([k], pa.int64()), pa.array([f"{part}-{row}"]), pa.array([c], pa.int64()),
-                         pa.array([c // BLOCK], pa.int64()), pa.array([n], pa.int64()), pa.array([piece]),
-                         pa.array([m.tobytes()], pa.binary())],
-                        names=["key", "text_id", "chunk", "block", "size", "text", "matrix"])
+                         pa.array([c // BLOCK], pa.int64()), pa.array([n], pa.int64()), pa.array([norm[at:end]]),
+                         pa.array([t[max(at - 1, 0):end - 1]])],      # the text lacks the blank that comes first
+                        names=["key", "text_id", "chunk", "block", "size", "text", "source"])
+
+    def matrices(batches: Iterator[pa.RecordBatch]):
+        vocab = vocabulary(path)
+        for b in batches:
+            for i in range(b.num_rows):
+                one = b.slice(i, 1)
+                n, piece = one.column(4)[0].as_py(), one.column(5)[0].as_py()
+                m = vocab.transfer(piece, n)
+                m[:, len(piece) - n + 1:] = _NEVER  # no piece reaches beyond the text
+                yield pa.record_batch([*one.columns, pa.array([m.tobytes()], pa.binary())], names=[*one.schema.names, "matrix"])
 
     t = F.coalesce(F.col(text), F.lit(""))
     src = docs.select(F.col(key).cast("long").alias("key"), t.alias("_text")).where(F.length("_text") >= giant)
-    return written(src.mapInArrow(run, "key long, text_id string, chunk long, block long, size long, text string, matrix binary"), "chunks")
+    cols = "key long, text_id string, chunk long, block long, size long, text string, source string"
+    pieces = written(src.mapInArrow(cut, cols), "cuts")
+    return written(pieces.repartition("text_id", "chunk").mapInArrow(matrices, cols + ", matrix binary"), "chunks")
 
 
 def _after(v: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -356,23 +371,25 @@ def _encode_giants(chunks: DataFrame, path: str) -> DataFrame:
     def trace(batches: Iterator[pa.RecordBatch]):
         vocab = vocabulary(path)
         for b in batches:
-            for key, tid, c, size, text, before, a, z in zip(*(x.to_pylist() for x in b.columns)):
+            for key, tid, c, size, text, before, source, a, z in zip(*(x.to_pylist() for x in b.columns)):
                 ids = vocab.trace(text, size, np.frombuffer(before, np.int64).tolist(), z)
+                lead = 0 if c else 1                  # the first chunk's blank is not in the source
+                own = source[max(a - lead, 0):size + z - lead]
                 yield pa.record_batch([pa.array([key], pa.int64()), pa.array([tid]), pa.array([c], pa.int64()),
-                                       pa.array([np.array(ids, "<u4").tobytes()], pa.binary()), pa.array([text[a:size + z]])],
+                                       pa.array([np.array(ids, "<u4").tobytes()], pa.binary()), pa.array([own])],
                                       names=["key", "text_id", "chunk", "ids", "cut"])
 
     cols = ["text_id", "chunk", "size", "text", "before"]
     states = (known.select(*cols).mapInArrow(maps, "text_id string, chunk long, entries array<int>")
               .repartition("text_id").sortWithinPartitions("text_id", F.desc("chunk"))
               .mapInArrow(follow, "text_id string, chunk long, g_in long, g_out long"))
-    return (known.join(states, ["text_id", "chunk"]).select("key", *cols, "g_in", "g_out")
+    return (known.join(states, ["text_id", "chunk"]).select("key", *cols, "source", "g_in", "g_out")
             .mapInArrow(trace, "key long, text_id string, chunk long, ids binary, cut string"))
 
 
 def encode_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", giant: int = GIANT,
                   chunk: int = CHUNK) -> DataFrame:
-    """``(key, text_id, chunk, ids, cut)``: ids (little-endian uint32) of every whole text and the normalised text they stand for.
+    """``(key, text_id, chunk, ids, cut)``: ids (little-endian uint32) of every whole text and the text they stand for.
 
     A text of ``giant`` characters or more has a row per chunk and a ``text_id``;
     another has one row and a null ``text_id``.  Null text: empty, no ids."""
@@ -380,30 +397,33 @@ def encode_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
 
 def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
-    """``(key, text_id, chunk, n_tokens, weighted, total, exact)`` of every row:
-    ``exact`` if its ids decode to the text they stand for; sums of ids (and of id
-    times place) modulo 2^31 - 1, which add up over chunks."""
+    """``(key, text_id, chunk, n_tokens, weighted, total, exact, decoded, same)`` of every row: the text its ids
+    stand for; ``exact`` if that is the normalised text they were made from, ``same`` if it is the source
+    text itself (one that holds U+2581 comes back with spaces); sums of ids (and of id times place)
+    modulo 2^31 - 1, which add up over chunks.  The texts of a chunked row join in order of ``chunk``."""
     def run(batches: Iterator[pa.RecordBatch]):
         vocab, p = vocabulary(path), (1 << 31) - 1
-        for b in batches:
-            out = []
-            for k, tid, c, raw, cut in zip(*(x.to_pylist() for x in b.columns)):
-                ids = np.frombuffer(raw, "<u4").astype(np.int64)
-                place = (ids * (np.arange(len(ids)) % p)) % p
-                out.append((k, tid, c, len(ids), int(place.sum() % p), int(ids.sum() % p), vocab.decode_bytes(ids) == cut.encode()))
-            if out:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.int64(),
-                                                                                  pa.int64(), pa.int64(), pa.bool_()))],
-                                      names=["key", "text_id", "chunk", "n_tokens", "weighted", "total", "exact"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                out = []
+                for k, tid, c, raw, cut in zip(*(x.to_pylist() for x in whole.slice(at, 256).columns)):
+                    ids = np.frombuffer(raw, "<u4").astype(np.int64)
+                    place = (ids * (np.arange(len(ids)) % p)) % p
+                    text = vocab.decode(ids).replace("▁", " ")
+                    text = text if c else text[1:]
+                    out.append((k, tid, c, len(ids), int(place.sum() % p), int(ids.sum() % p), text == cut.replace("▁", " "), text, text == cut))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.bool_())
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), kinds)],
+                                      names=["key", "text_id", "chunk", "n_tokens", "weighted", "total", "exact", "decoded", "same"])
 
     return encoded.select("key", "text_id", "chunk", "ids", "cut").mapInArrow(
-        run, "key long, text_id string, chunk long, n_tokens long, weighted long, total long, exact boolean")
+        run, "key long, text_id string, chunk long, n_tokens long, weighted long, total long, exact boolean, decoded string, same boolean")
 
 
 def digest(decoded: DataFrame) -> DataFrame:
     """``(key, n_tokens, ids_hash, exact)`` per text: number of ids, sum of id * place modulo 2^31 - 1 over the whole text."""
     p = (1 << 31) - 1
-    decoded = written(decoded, "decoded")  # both parts below read it
+    decoded = written(decoded.drop("decoded", "same"), "decoded")  # both parts below read it
     whole = decoded.where("text_id IS NULL").select("key", "n_tokens", F.col("weighted").alias("ids_hash"), "exact")
     before = F.sum("n_tokens").over(Window.partitionBy("text_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     parts = decoded.where("text_id IS NOT NULL").withColumn("_o", F.coalesce(before, F.lit(0)))

@@ -120,3 +120,17 @@ def test_units_and_divided_chunks_change_nothing():
                 divided += VOCAB.first_division(t, size) is not None
                 assert (VOCAB.transfer(t, size) == VOCAB.full_transfer(t, size)).all(), (t, size)
     assert divided > 100
+
+
+def test_decoded_texts_are_the_source_texts(spark):
+    """Joined over chunks, the decoded text is the text itself (with U+2581 read as a space)."""
+    rows = list(enumerate([t * 7 for t in texts()[:50]] + ["", " ", "  a  b ", "a▁b c", "x y " * 400]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for more in ({}, {"giant": 30, "chunk": 11}):
+        parts = {}
+        for r in pc.decode_pieces(pc.encode_pieces(docs, PATH, **more), PATH).collect():
+            parts.setdefault(r["key"], []).append((r["chunk"], r["decoded"], r["same"], r["exact"]))
+        for k, t in rows:
+            got = sorted(parts[k])
+            assert "".join(x[1] for x in got) == t.replace("▁", " ") and all(x[3] for x in got)
+            assert all(x[2] for x in got) == ("▁" not in t)
