@@ -20,12 +20,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentiforge.functions.text import split_ws
-from sentiforge.session import ensure_checkpoint_dir
+from sentiforge.scratch import written
 
 WORD_START = "▁"  # fixed value: the word-start mark of sentencepiece-style pieces
 
@@ -58,10 +57,11 @@ def _merge(sym: Column, left: str, right: str) -> Column:
     return F.regexp_replace(sym, F.lit(pat), F.lit(repl))
 
 
-def learn_merges(words: DataFrame, n_merges: int, checkpoint_every: int = 10) -> list[tuple[int, str, str, int]]:
-    """Greedy merges ``(rank, left, right, count)``; stops early when no pair occurs twice."""
-    ensure_checkpoint_dir(words.sparkSession)
-    cur = words.select("n", "sym").persist(StorageLevel.MEMORY_AND_DISK)
+def learn_merges(words: DataFrame, n_merges: int, write_every: int = 10) -> list[tuple[int, str, str, int]]:
+    """Greedy merges ``(rank, left, right, count)``; stops early when no pair occurs twice.
+
+    The words as merged so far are written every ``write_every`` merges, which cuts the chain of rewrites."""
+    cur = written(words.select("n", "sym"), "bpe")
     merges = []
     for rank in range(n_merges):
         best = pair_counts(cur).orderBy(F.desc("n"), F.asc("pair")).limit(1).collect()
@@ -69,13 +69,9 @@ def learn_merges(words: DataFrame, n_merges: int, checkpoint_every: int = 10) ->
             break
         left, right = best[0]["pair"].split(" ")
         merges.append((rank, left, right, int(best[0]["n"])))
-        nxt = cur.select("n", _merge(F.col("sym"), left, right).alias("sym"))
-        if (rank + 1) % checkpoint_every == 0:
-            nxt = nxt.checkpoint()  # reliable checkpoint: cuts the chain of merges
-        else:
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        cur.unpersist()
-        cur = nxt
+        cur = cur.select("n", _merge(F.col("sym"), left, right).alias("sym"))
+        if (rank + 1) % write_every == 0:
+            cur = written(cur, "bpe")
     return merges
 
 

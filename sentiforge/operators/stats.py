@@ -30,11 +30,6 @@ def tail_slice(freq: DataFrame, col: str, start_from_end: int, stop_from_end: in
             .offset(stop_from_end).limit(start_from_end - stop_from_end))
 
 
-def bottom_k(freq: DataFrame, col: str, k: int, n_col: str = "n") -> DataFrame:
-    """The k least common values (last k of the most-common order)."""
-    return freq.orderBy(F.asc(n_col), F.desc(col)).limit(k)
-
-
 def distinct_and_total(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.count_distinct(col).alias("n_distinct"), F.count(col).alias("n_total"))
 

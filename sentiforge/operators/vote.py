@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from sentiforge.functions.arrays import argmax
 
 
-def stack_models(tables: dict, uid_col: str = "uid", cls_col: str = "cls") -> DataFrame:
-    """Union K ``(uid, cls)`` tables into ``(model, uid, cls)``."""
+def stack_models(tables: dict, uid_col: str = "uid", cls_col: str = "cls", keep: Sequence[str] = ()) -> DataFrame:
+    """Union K ``(uid, *keep, cls)`` tables into ``(model, uid, *keep, cls)``."""
     out = None
     for name, t in tables.items():
-        t = t.select(F.lit(name).alias("model"), F.col(uid_col).alias("uid"), F.col(cls_col).alias("cls"))
+        t = t.select(F.lit(name).alias("model"), F.col(uid_col).alias("uid"), *keep, F.col(cls_col).alias("cls"))
         out = t if out is None else out.unionByName(t)
     return out
 

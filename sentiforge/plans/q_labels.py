@@ -86,7 +86,7 @@ def label_encode(spark, sf):
 SELECT uid, CASE sentiment WHEN 'neutral' THEN 0 WHEN 'negative' THEN 1 WHEN 'positive' THEN 2 END AS label FROM corpus"""))
 def label_map(spark, sf):
     """Explicit dictionary map (neutral=0, negative=1, positive=2); missing keys -> null."""
-    m = {"neutral": 0, "negative": 1, "positive": 2}
+    m = {"neutral": 0, "negative": 1, "positive": 2}  # fixed value: the other label order in use
     return corpus(spark, sf).select("uid", L.map_values(F.col("sentiment"), m).alias("label"))
 
 

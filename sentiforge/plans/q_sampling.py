@@ -66,8 +66,21 @@ SELECT mix, split, count(*) AS n FROM (SELECT * FROM cls UNION ALL SELECT * FROM
 def corpus_mixes(spark, sf):
     """Classifier mix = labelled rows (train/valid); LM mix = every document, labelled
     or not (train/valid by its own seed).  Row counts per mix and split."""
-    c = sampling.holdout_split(labelled(spark, sf).select("uid"), "uid", 0.1, SPLIT_SEED)
-    c = c.select(F.lit("classifier").alias("mix"), F.when(F.col("split") == "test", "valid").otherwise("train").alias("split"))
-    lm = sampling.holdout_split(table(spark, sf, "documents").select("doc_id"), "doc_id", 0.1, LM_SEED)
-    lm = lm.select(F.lit("lm").alias("mix"), F.when(F.col("split") == "test", "valid").otherwise("train").alias("split"))
-    return c.unionByName(lm).groupBy("mix", "split").agg(F.count(F.lit(1)).alias("n"))
+    return _mixes(spark, sf).groupBy("mix", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _mixes(spark, sf):
+    split = F.when(F.col("split") == "test", "valid").otherwise("train").alias("split")
+    c = sampling.holdout_split(labelled(spark, sf).select("uid", "text", "sentiment"), "uid", 0.1, SPLIT_SEED)
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), "text")
+    lm = sampling.holdout_split(d, "uid", 0.1, LM_SEED)
+    return c.select(F.lit("classifier").alias("mix"), split, "uid", "text", "sentiment").unionByName(
+        lm.select(F.lit("lm").alias("mix"), split, "uid", "text"), allowMissingColumns=True)
+
+
+@register("corpus_mix_rows", with_sql("labelled", f"""
+SELECT 'classifier' AS mix, CASE WHEN {S.uniform(str(SPLIT_SEED), 'uid')} < 0.1 THEN 'valid' ELSE 'train' END AS split, uid, text, sentiment FROM labelled
+UNION ALL SELECT 'lm', CASE WHEN {S.uniform(str(LM_SEED), 'doc_id')} < 0.1 THEN 'valid' ELSE 'train' END, doc_id, text, NULL FROM documents"""))
+def corpus_mix_rows(spark, sf):
+    """The mixes themselves: every row of both with its split and text (the LM mix has no label)."""
+    return _mixes(spark, sf)

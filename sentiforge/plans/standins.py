@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from sentiforge.functions.hashing import hex_int, md5_key, uniform
 from sentiforge.operators.labels import encode_fixed
 from sentiforge.operators.ordering import row_index
+from sentiforge.operators.vote import stack_models
 from sentiforge.sources.tables import table
 
 CLASSES = ["negative", "neutral", "positive"]  # lexicographic label order -> ids 0, 1, 2
@@ -60,15 +61,12 @@ def tweets(spark: SparkSession, sf: str) -> DataFrame:
 def preds(spark: SparkSession, sf: str) -> DataFrame:
     """Long table of K model outputs (model, uid, label, cls)."""
     base = labelled(spark, sf).select("uid", "label")
-    outs = []
+    tables = {}
     for k in range(1, N_MODELS + 1):
         rnd = F.pmod(hex_int(md5_key(k, F.col("uid")), 1, 4), F.lit(3)).cast("int")
         cls = F.when(uniform(k, "agree", F.col("uid")) < 0.6, F.col("label")).otherwise(rnd)
-        outs.append(base.select(F.lit(k).alias("model"), "uid", "label", cls.alias("cls")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+        tables[k] = base.select("uid", "label", cls.alias("cls"))
+    return stack_models(tables, keep=["label"])
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:

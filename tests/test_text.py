@@ -11,7 +11,7 @@ from sentiforge.functions import text as T
 from sentiforge.operators.labels import encode_fixed
 from sentiforge.operators.vote import majority_vote
 
-TOY = "RT @someone https://something hello"
+TOY = "RT @lakshmi_k http://pic.example/z nice day"
 
 
 def _one(spark, col_fn, text):
@@ -19,9 +19,9 @@ def _one(spark, col_fn, text):
 
 
 @pytest.mark.parametrize("fn,text,expected", [
-    (T.clean_mark, TOY, "RT mention someone  hello"),
-    (T.clean_glue, TOY, "RT mentionsomeone  hello"),
-    (T.clean_strip, TOY, "  hello"),
+    (T.clean_mark, TOY, "RT mention lakshmi_k  nice day"),
+    (T.clean_glue, TOY, "RT mentionlakshmi_k  nice day"),
+    (T.clean_strip, TOY, "  nice day"),
     (T.clean_mark, "RT @bob: hi http://x.y/#a b", "Retweet hi  a b"),
 ])
 def test_cleaners(spark, fn, text, expected):
