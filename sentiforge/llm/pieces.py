@@ -212,7 +212,7 @@ def vocabulary(path: str) -> Vocabulary:
 class _Words(Encoder):
     """The memo of ``Encoder`` over words of normalised text, solved by ``Vocabulary.trace``."""
 
-    def __init__(self, path: str, memo_units: int = 250_000):
+    def __init__(self, path: str, memo_units: int = 320_000):
         self.vocab, self.memo_units, self.keeps_space = vocabulary(path), memo_units, False
         self._clear()
 
