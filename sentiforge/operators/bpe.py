@@ -2,12 +2,12 @@
 
 Learning works on the distinct-word table ``(word, n)``, which is far
 smaller than the corpus.  A word is a blank-joined symbol string starting
-with the word-start mark; each round counts adjacent symbol pairs weighted
-by word frequency (one aggregation with map-side partial sums), takes the
-most frequent pair (ties: smaller pair text), and merges it in every word
-with one regex replace (non-overlapping, left to right).  Only the winning
-pair reaches the driver.  The word table is checkpointed every few rounds
-into the shared checkpoint folder so the lineage stays short.
+with the word-start mark.  Adjacent symbol pairs weighted by word frequency
+are counted once; each round takes the most frequent pair (ties: smaller pair
+text), merges it (non-overlapping, left to right) in the words that hold it,
+and adds what these words gain and lose to the counts.  Only the winning
+pair reaches the driver.  Words and counts are written anew every few rounds
+into the shared checkpoint folder.
 
 Applying merges: each distinct word is segmented by repeatedly merging its
 lowest-ranked adjacent pair (the standard BPE rule) in a vectorised pandas
@@ -18,7 +18,11 @@ a fixed bound); the segmented words are joined back to the text.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,27 +55,74 @@ def pair_counts(words: DataFrame) -> DataFrame:
             .groupBy("pair").agg(F.sum("n").alias("n")))
 
 
-def _merge(sym: Column, left: str, right: str) -> Column:
-    pat = "(?<=^| )" + re.escape(left) + " " + re.escape(right) + "(?= |$)"
-    repl = (left + right).replace("\\", "\\\\").replace("$", "\\$")
-    return F.regexp_replace(sym, F.lit(pat), F.lit(repl))
-
-
-def learn_merges(words: DataFrame, n_merges: int, write_every: int = 10) -> list[tuple[int, str, str, int]]:
+def _merged(batches: Iterator, pairs: list[tuple[str, str]]) -> Iterator:
+    """Per batch of ``(n, sym)``: ``(n, sym after the pairs, places that hold the last pair, their sym before it)``."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    pats = [(f" {a} {b} ", re.compile(f"(?<= ){re.escape(a)} {re.escape(b)}(?= )"), a + b) for a, b in pairs]
+    for batch in batches:
+        sym, held, before = pc.binary_join_element_wise("", batch.column(1).cast(pa.string()), "", " "), [], []
+        for text, pat, both in pats:
+            found = pc.match_substring(sym, text)
+            held = np.flatnonzero(found.to_numpy(zero_copy_only=False))
+            before = sym.take(pa.array(held)).to_pylist()
+            if before:
+                after = pa.array([pat.sub(lambda _: both, x) for x in before], pa.string())  # noqa: B023 - used at once
+                sym = pc.replace_with_mask(sym, found, after)
+        yield batch.column(0), sym, held, before
+
+
+def _apply(words: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """``words`` with the pairs merged one after the other."""
+    def merged(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        for n, sym, _, _ in _merged(batches, pairs):
+            yield pa.RecordBatch.from_arrays([n, pc.utf8_trim(sym, " ")], names=["n", "sym"])
+
+    return words.select("n", "sym").mapInArrow(merged, "n long, sym string")
+
+
+def _changes(words: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """``(pair, n)``: how the last of ``pairs`` changes the counts where it is merged after the others."""
+    def changed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        for n, sym, held, before in _merged(batches, pairs):
+            out: Counter = Counter()
+            weights, after = n.take(pa.array(held)).to_pylist(), sym.take(pa.array(held)).to_pylist()
+            for w, old, new in zip(weights, before, after):
+                for gain, text in ((w, new), (-w, old)):
+                    s = text[1:-1].split(" ")
+                    for a, b in zip(s, s[1:]):
+                        out[f"{a} {b}"] += gain
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())],
+                                             names=["pair", "n"])
+
+    return words.select("n", "sym").mapInArrow(changed, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def learn_merges(words: DataFrame, n_merges: int, checkpoint_every: int = 10) -> list[tuple[int, str, str, int]]:
     """Greedy merges ``(rank, left, right, count)``; stops early when no pair occurs twice.
 
-    The words as merged so far are written every ``write_every`` merges, which cuts the chain of rewrites."""
+    A merge rewrites and recounts only the words that hold its pair.  Words and counts are written
+    anew every ``checkpoint_every`` merges."""
     cur = written(words.select("n", "sym"), "bpe")
-    merges = []
+    counts = written(pair_counts(cur), "bpe-pairs")
+    merges, pending, changes = [], [], []
     for rank in range(n_merges):
-        best = pair_counts(cur).orderBy(F.desc("n"), F.asc("pair")).limit(1).collect()
+        now = reduce(DataFrame.unionByName, changes, counts)
+        now = now.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") > 0)
+        if len(pending) == checkpoint_every:
+            cur, counts = written(_apply(cur, pending), "bpe"), written(now, "bpe-pairs")
+            now, pending, changes = counts, [], []
+        best = now.orderBy(F.desc("n"), F.asc("pair")).limit(1).collect()
         if not best or best[0]["n"] < 2:
             break
         left, right = best[0]["pair"].split(" ")
         merges.append((rank, left, right, int(best[0]["n"])))
-        cur = cur.select("n", _merge(F.col("sym"), left, right).alias("sym"))
-        if (rank + 1) % write_every == 0:
-            cur = written(cur, "bpe")
+        if len(merges) < n_merges:
+            pending.append((left, right))
+            changes.append(written(_changes(cur, pending), "bpe-changes"))
     return merges
 
 

@@ -50,3 +50,17 @@ def test_learn_and_segment(spark):
     for k, t in enumerate(text):
         assert got[k][0] == [p for w in t.lower().split() for p in segmented[w]]
         assert got[k][1] == " ".join(t.lower().split())
+
+
+def test_a_merge_recounts_only_the_words_that_hold_its_pair(spark, monkeypatch):
+    text = ["aaaa aaaab abab ababa $1$1 $1$ a\\1 a\\1 (x)(x) .*.* .*.", "日本日本 日本語 aaaa abab 𝔘𝔫𝔘𝔫 𝔘𝔫"]
+    words = B.word_table(spark.createDataFrame([(t,) for t in text], "line string"), "line")
+    counted = []
+    full = B.pair_counts
+    monkeypatch.setattr(B, "pair_counts", lambda w: counted.append(1) or full(w))
+    for every in (1, 3, 100):
+        counted.clear()
+        expected, _ = _python_merges(Counter(w for t in text for w in t.split()), 12)
+        assert B.learn_merges(words, 12, every) == expected
+        assert len(counted) == 1
+    assert B.learn_merges(words.limit(0), 5) == []
