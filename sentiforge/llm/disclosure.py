@@ -12,9 +12,11 @@ so that PMI / IC is 1 if t never occurs without e.  P(e | t) is known from few
 documents only, so t discloses e if the ratio reaches ``threshold`` with the lower
 confidence bound (Wilson) of P(e | t) in place of its estimate.  The term must
 occur in ``support`` different texts that hold e and in ``COVERAGE`` of them (copies
-of one text prove nothing); where more than ``OWN_WORDS`` words of any kind qualify for
-one entity, its documents are near copies of each other, and none of the words is
-the entity's own.  An ordinary word is no candidate, or occurs without e.
+of one text prove nothing).  Where more than ``OWN_WORDS`` words of any kind qualify for
+one entity, its documents may hold copies of one passage, whose words are not the
+entity's own: each of its terms is then looked up where it stands, and those that keep
+the same ``BESIDE`` words before or behind them in ``COVERAGE`` of the texts are left out.
+An ordinary word is no candidate, or occurs without e.
 
 A disclosing term is a ``term`` span wherever it occurs, in any case, in a document
 that holds the entity.  An entity in a single text has no terms: nothing there
@@ -36,7 +38,8 @@ from sentiforge.llm.shared import written
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 2                 # different texts that must hold the entity and the term
 COVERAGE = 0.5              # part of the entity's texts that must hold the term
-OWN_WORDS = 8               # words that go with one entity only: names, an identifier, a few of its form
+OWN_WORDS = 8               # words that go with one entity only; with more, copied passages are looked for
+BESIDE = 4                  # words before or behind a term that make a copied passage
 THRESHOLD = 0.8
 CONFIDENCE = 1.645          # of the lower bound, in standard deviations (95 % one-sided)
 BROADCAST_BYTES = 32 << 20  # of a table sent to every executor; its size is measured first, a larger one is shuffled
@@ -178,8 +181,30 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str, key: str, sup
     sure = (pairs.join(everywhere, "term").select("kind", "value", "term", "named", ratio(share).alias("disclosure"), ratio(lower).alias("sure"))
             .where(F.col("sure") >= threshold))
     own_words = F.count_if(F.col("sure") >= max(threshold, THRESHOLD))
-    few = sure.groupBy("kind", "value").agg(own_words.alias("_n")).where(F.col("_n") <= OWN_WORDS).drop("_n")
-    return sure.where("named").drop("named").join(few, ["kind", "value"], "left_semi")
+    sure = written(sure, "sure")
+    many = sure.groupBy("kind", "value").agg(own_words.alias("_n")).where(F.col("_n") > OWN_WORDS).drop("_n")
+    many = _small(many, 24 + F.length("value"))
+    named = sure.where("named").drop("named")
+    asked = named.join(many, ["kind", "value"], "left_semi").select("kind", "value", "term")
+    return named.join(_copied(shared, asked, own, text), ["kind", "value", "term"], "left_anti")
+
+
+def _copied(shared: DataFrame, asked: DataFrame, own: DataFrame, text: str) -> DataFrame:
+    """``(kind, value, term)`` of the ``asked`` that stand in a passage copied between the entity's texts.
+
+    ``shared`` has a row ``(_text, text, kind, value)`` for each document and entity in it."""
+    entity = _small(asked.select("kind", "value").distinct(), 24 + F.length("value"))
+    words = F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+    texts = (shared.join(entity, ["kind", "value"], "left_semi").groupBy("kind", "value", "_text")
+             .agg(F.first(text).alias(text)).select("kind", "value", "_text", words.alias("_w")))
+    places = texts.select("kind", "value", "_text", "_w", F.posexplode("_w").alias("_i", "term"))
+    before = F.when(F.col("_i") >= BESIDE, F.xxhash64(F.lit(0), F.slice("_w", F.col("_i") - BESIDE + 1, BESIDE)))
+    behind = F.when(F.col("_i") + BESIDE < F.size("_w"), F.xxhash64(F.lit(1), F.slice("_w", F.col("_i") + 2, BESIDE)))
+    sides = (places.join(asked, ["kind", "value", "term"], "left_semi")
+             .select("kind", "value", "term", "_text", F.explode(F.array_compact(F.array(before, behind))).alias("_side")))
+    return (sides.groupBy("kind", "value", "term", "_side").agg(F.count_distinct("_text").alias("_n"))
+            .join(own.select("kind", "value", "texts"), ["kind", "value"])
+            .where((F.col("_n") >= SUPPORT) & (F.col("_n") >= COVERAGE * F.col("texts"))).select("kind", "value", "term").distinct())
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:

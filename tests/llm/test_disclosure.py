@@ -173,3 +173,22 @@ def test_nothing_broadcast_changes_nothing(spark, monkeypatch):
         monkeypatch.setattr(ds, "BROADCAST_BYTES", limit)
         both.append(sorted(map(tuple, ds.sanitised(docs).collect())))
     assert both[0] == both[1]
+
+
+def test_an_entity_with_many_words_of_its_own_keeps_them(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(SYLLABLES) for _ in range(2))
+    own = [f"Name{chr(97 + i)}vyn" for i in range(ds.OWN_WORDS + 4)]
+    passage = "Zanzibarium Quillfeather Ostrogard Pellimore Wexcombe Thornaby Aldermoor Finchley Brackenfell Umberleigh Corvane"
+
+    def mixed(words):
+        return " ".join(w for x in words for w in [x, *(word() for _ in range(6))])
+
+    rows = [(i, f"{mixed(rng.sample(own, len(own)))} many@names.org") for i in range(20)]
+    rows += [(100 + i, f"{' '.join(word() for _ in range(30))} {passage} one@copy.net {word()}") for i in range(20)]
+    rows += [(1000 + i, " ".join(word() for _ in range(60))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    for r in ds.sensitive_spans(docs).collect():
+        found = {text[r["doc_id"]][s["start"]:s["end"]] for s in r["term"]}
+        assert found == (set(own) if r["doc_id"] < 100 else set())
