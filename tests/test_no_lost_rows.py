@@ -69,3 +69,13 @@ def test_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Session())
+
+
+def test_encode_holds_one_chunk_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(lmprep, "CHUNK_LINES", 3)
+    lines = spark.createDataFrame([(k, ["a", "b", "c", None][:k % 5] if k % 7 else None) for k in range(40)], "k long, toks array<string>")
+    vocab = lmprep.build_vocab(spark.createDataFrame([("a",), ("b",)], "token string"), min_count=1)
+    out = lmprep.encode(lines.repartition(2), ["k"], "toks", vocab)
+    got = {r["k"]: r["ids"] for r in out.collect()}
+    assert got == {k: [5, 6, 1, 1][:k % 5] if k % 7 else [] for k in range(40)}
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().toString()
