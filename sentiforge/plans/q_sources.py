@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sentiforge.functions import text as T
 from sentiforge.plans import sqltext as S
 from sentiforge.plans.registry import register
-from sentiforge.scratch import scratch_path
+from sentiforge.scratch import scratch_path, written
 from sentiforge.sources import readers, sinks
 from sentiforge.sources.tables import table
 
@@ -24,6 +24,7 @@ def records_round_trip(spark, sf):
     """Every document as a blank-line separated record, once per kind of line end, read back in byte ranges."""
     toks = F.coalesce(T.split_ws(F.col("text")), F.array().cast("array<string>"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), F.col("lang").alias("sentiment"), toks.alias("tokens"))
+    docs = written(docs, "record-tokens")     # three files are made of them
     out = []
     for name, br in BREAKS.items():
         path = scratch_path(spark, f"records-{name}")

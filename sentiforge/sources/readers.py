@@ -34,20 +34,21 @@ def annotated_records(spark: SparkSession, path, labelled: bool = True, parity:
     raw = read_records(spark, path, split_bytes)
     if parity:
         raw = raw.where("closed")
-    raw = raw.withColumn("value", F.regexp_replace("value", "\r\n?", "\n"))
-    lines = F.filter(F.split(F.col("value"), "\n"), lambda x: x != F.lit(""))
-    head = F.split(F.get(lines, 0), "\t")
-    n_fields = 3 if labelled else 2
+    # columns of their own, so that a record is split once whatever is read of it; empty lines go, so CR may stand for LF
+    lines = F.filter(F.split(F.replace("value", F.lit("\r"), F.lit("\n")), "\n"), lambda x: x != F.lit(""))
+    raw = raw.where(F.col("value").rlike("[^\r\n]")).select("value", lines.alias("_lines"))
+    toks = F.transform(F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(0))),
+                       lambda ln: F.substring_index(ln, "\t", 1))
+    raw = raw.select("value", F.split(F.get("_lines", 0), "\t").alias("_head"), toks.alias("tokens"))
+    head, n_fields = F.col("_head"), 3 if labelled else 2
     ok = F.size(head) == n_fields
-    toks = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))),
-                       lambda ln: F.split(ln, "\t").getItem(0))
-    text = F.array_join(toks, " ")
-    return raw.where(F.size(lines) > 0).select(
+    text = F.array_join("tokens", " ")
+    return raw.select(
         F.when(ok, F.get(head, 1).try_cast("long")).alias("uid"),
         (F.when(ok, F.get(head, 2)) if labelled else F.lit(None).cast("string")).alias("sentiment"),
-        toks.alias("tokens"),
+        "tokens",
         (F.concat(text, F.lit("  ")) if parity else text).alias("text"),
-        F.when(~ok, F.col("value")).alias("_corrupt"))
+        F.when(~ok, F.regexp_replace("value", "\r\n?", "\n")).alias("_corrupt"))
 
 
 def input_files(spark: SparkSession, paths) -> DataFrame:

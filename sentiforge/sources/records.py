@@ -23,7 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 NAME = "sentiforge_records"
 SPLIT_BYTES = 64 << 20
 _BLOCK = 1 << 20
-_BREAKS = re.compile(rb"(?:(?>\r\n|\n|\r)){2,}")   # a CRLF is never taken for two line ends
+# two line ends or more, a CRLF is never taken for two; it starts with a set of characters, which the engine looks for quickly
+_BREAKS = re.compile(rb"[\r\n](?:\r|(?<=\n)\n|\n[\r\n])[\r\n]*")
 _TAIL = 4            # bytes of the longest two line ends
 
 

@@ -72,6 +72,16 @@ def test_folder_glob_list_and_round_trip(spark, tmp_path):
     assert readers.input_files(spark, [str(tmp_path / "part0" / "*.txt"), str(tmp_path / "test")]).where("size > 0").count() >= 2
 
 
+def test_a_record_is_split_once(spark, tmp_path):
+    """Whatever is read of a record, its lines are made once; empty lines and a lone blank record leave no row."""
+    (tmp_path / "a.txt").write_bytes(b"\r\n\r\nmeta\t1\tx\r\nA\tO\n\tO\rb\r\n\r\nmeta\t2\r\nC\tD\tE\r")
+    got = readers.annotated_records(spark, str(tmp_path / "a.txt"))
+    plan = got.select("uid", "sentiment", F.size("tokens"), "text", "_corrupt")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(split(") == 1 and plan.count("transform(") == 1
+    assert [tuple(r) for r in got.orderBy("_corrupt").collect()] == [
+        (1, "x", ["A", "", "b"], "A  b", None), (None, None, ["C"], "C", "meta\t2\nC\tD\tE\n")]
+
+
 def test_empty_and_missing(spark, tmp_path):
     (tmp_path / "none.txt").write_bytes(b"")
     assert readers.annotated_records(spark, str(tmp_path / "none.txt")).count() == 0
