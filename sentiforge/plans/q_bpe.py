@@ -10,7 +10,7 @@ from sentiforge.plans import sqltext as S
 from sentiforge.plans.q_sampling import LM_LINES_SQL, lm_lines
 from sentiforge.plans.registry import register
 
-N_MERGES = 100  # learned vocabulary size for the registered queries (the operator takes any)
+N_MERGES = 8000  # the reference learns a vocabulary of 8,000 pieces (the operator takes any number)
 
 
 @register("bpe_pair_counts", f"""WITH {LM_LINES_SQL},

@@ -1,9 +1,12 @@
 """BPE learning against a plain-Python trainer; segmentation reproduces training."""
 
+import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from sentiforge.functions.text import split_ws
 from sentiforge.operators import bpe as B
 
 
@@ -64,3 +67,36 @@ def test_a_merge_recounts_only_the_words_that_hold_its_pair(spark, monkeypatch):
         assert B.learn_merges(words, 12, every) == expected
         assert len(counted) == 1
     assert B.learn_merges(words.limit(0), 5) == []
+
+
+def test_many_merges_of_a_job_are_those_of_one_at_a_time(spark, monkeypatch):
+    """Few jobs, and pieces of one text that come from different pairs are one symbol."""
+    rng = random.Random(3)
+    counts = Counter("".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(400))
+    words = B.word_table(spark.createDataFrame([(w,) for w in counts.elements()], "line string"), "line")
+    rounds = []
+    full = B._accepted
+    monkeypatch.setattr(B, "_accepted", lambda *a: rounds.append(full(*a)) or rounds[-1])
+    expected, segmented = _python_merges(counts, 150)
+    assert B.learn_merges(words, 150) == expected and sum(rounds) == len(expected) > 2 * len(rounds)
+    found = B._Pieces(expected)
+    assert [[found.text(s) for s in np.frombuffer(b, np.int32)] for b in found.symbols(list(counts))] == [segmented[w] for w in counts]
+
+
+def test_the_queries_learn_the_whole_vocabulary():
+    from sentiforge.plans import q_bpe
+    assert q_bpe.N_MERGES >= 8000   # the reference's vocabulary
+
+
+def test_lines_are_encoded_where_they_lie(spark, monkeypatch):
+    """No row a word, unless a key occurs twice: such rows are one line."""
+    rows = [(1, "Low lower aaaa"), (2, ""), (3, None), (None, "low 日本日本"), (4, "lower low"), (4, "aaa b c"), (5, "  ")]
+    df = spark.createDataFrame(rows, "k long, line string").repartition(2)
+    merges, _ = _python_merges(Counter("low lower aaaa 日本日本 low".split()), 9)
+    monkeypatch.setattr(B, "CHUNK_WORDS", 2)
+    got = {r.k: r.pieces for r in B.encode_pieces(df, ["k"], "line", merges).collect()}
+    words = df.select("k", split_ws(F.lower("line")).alias("_w"))
+    assert got == {r.k: r.pieces for r in B._encode_words(words, ["k"], merges).collect()} and len(got) == 6
+    monkeypatch.setattr(B, "_encode_words", None)
+    alone = df.where("k <> 4 or k is null")
+    assert {r.k: r.pieces for r in B.encode_pieces(alone, ["k"], "line", merges).collect()} == {k: v for k, v in got.items() if k != 4}
